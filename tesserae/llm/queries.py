@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import format_dedup, mixing, splits, stratified, tokens
+from tesserae.llm import format_dedup, mixing, overlap, splits, stratified, tokens
 
 PI_TIES, INSTITUTION_TIES = ["person_id", "project_cluster_id"], ["organization_clean", "project_cluster_id"]
 
@@ -71,6 +71,21 @@ def p3_sample(spark, d):
     return stratified.draw_sample(_flagged(spark, d), _read(spark, d, "sample_targets"))
 
 
+_P4 = ("benchmark_id", "abstract_clean", "split_temporal_cluster_safe")
+
+
+def p4_found(spark, d):
+    return overlap.overlapping_pairs(_benchmark(spark, d), *_P4)
+
+
+def p4_rows(spark, d):
+    return overlap.overlapping_rows(_benchmark(spark, d), *_P4)
+
+
+def p4_report(spark, d):
+    return overlap.overlap_report(_benchmark(spark, d), *_P4, "nsforganization")
+
+
 def p6_ids(spark, d):
     return tokens.encode_texts(_read(spark, d, "documents"))
 
@@ -83,5 +98,5 @@ def p7_report(spark, d):
     return mixing.mix_sources(_read(spark, d, "documents"), _read(spark, d, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p6_ids, p7_mix, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_rows, p4_report, p6_ids, p7_mix, p7_report)}
 ORACLE: dict[str, str] = {}
