@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import format_dedup, mixing, overlap, splits, stratified, tokens
+from tesserae.llm import entities, format_dedup, mixing, overlap, splits, stratified, tokens
 
 PI_TIES, INSTITUTION_TIES = ["person_id", "project_cluster_id"], ["organization_clean", "project_cluster_id"]
 
@@ -86,6 +86,20 @@ def p4_report(spark, d):
     return overlap.overlap_report(_benchmark(spark, d), *_P4, "nsforganization")
 
 
+def p5_found(spark, d):
+    people = entities.entity_pairs(entities.resolve(entities.person_spellings(_read(spark, d, "award_pi_edges"))))
+    places = entities.entity_pairs(entities.resolve(entities.organisation_spellings(_awards(spark, d))))
+    return people.select(F.lit("person").alias("entity_kind"), "id_1", "id_2").unionByName(places.select(F.lit("organisation").alias("entity_kind"), "id_1", "id_2"))
+
+
+def p5_people(spark, d):
+    return entities.resolve(entities.person_spellings(_read(spark, d, "award_pi_edges"))).select(F.col("id").alias("person_id"), "entity")
+
+
+def p5_organisations(spark, d):
+    return entities.resolve(entities.organisation_spellings(_awards(spark, d))).select(F.col("id").alias("institution_id"), "entity")
+
+
 def p6_ids(spark, d):
     return tokens.encode_texts(_read(spark, d, "documents"))
 
@@ -98,5 +112,5 @@ def p7_report(spark, d):
     return mixing.mix_sources(_read(spark, d, "documents"), _read(spark, d, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_rows, p4_report, p6_ids, p7_mix, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_rows, p4_report, p5_found, p5_people, p5_organisations, p6_ids, p7_mix, p7_report)}
 ORACLE: dict[str, str] = {}
