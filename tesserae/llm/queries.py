@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import entities, format_dedup, mixing, overlap, splits, stratified, tokens
+from tesserae.llm import entities, format_dedup, mixing, overlap, splits, stratified, subjects, tokens
 
 PI_TIES, INSTITUTION_TIES = ["person_id", "project_cluster_id"], ["organization_clean", "project_cluster_id"]
 
@@ -112,5 +112,17 @@ def p7_report(spark, d):
     return mixing.mix_sources(_read(spark, d, "documents"), _read(spark, d, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_rows, p4_report, p5_found, p5_people, p5_organisations, p6_ids, p7_mix, p7_report)}
+def _subjects(spark, d):
+    return subjects.assign_subjects(_read(spark, d, "documents"), _read(spark, d, "subject_examples"), _read(spark, d, "subject_areas"))
+
+
+def p8_found(spark, d):
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark, d):
+    return subjects.composition(_subjects(spark, d), _read(spark, d, "documents"), _read(spark, d, "subject_areas"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_rows, p4_report, p5_found, p5_people, p5_organisations, p6_ids, p7_mix, p7_report, p8_found, p8_composition)}
 ORACLE: dict[str, str] = {}
