@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: An e-mail address as the cleaners recognise it. Fixed value.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -30,7 +31,7 @@ def squeeze(x: ColumnLike) -> Column:
     return F.trim(F.regexp_replace(unwrap(x), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd_ascii(values: pd.Series) -> pd.Series:
     import unicodedata
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.skew import attach
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per ``keys``: the first by ``order``, which must be given (null keys are a key of their own).
@@ -32,15 +34,13 @@ def keep_latest(df: DataFrame, key: str, date: str, tie: str) -> DataFrame:
 def duplicate_flag(df: DataFrame, keys: list[str], order: list[Column], name: str = "duplicate_flag") -> DataFrame:
     """``df`` with 1 on every row but the first of its ``keys`` by ``order`` (which must be unique inside a key), else 0."""
     first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-    both = df.join(first, [df[k].eqNullSafe(first[k]) for k in keys], "left")
-    flag = (F.struct(*order) != F.col("_first")).cast("int")
-    return both.select(*[df[c] for c in df.columns], flag.alias(name))
+    return attach(df, first, keys).withColumn(name, (F.struct(*order) != F.col("_first")).cast("int")).drop("_first")
 
 
 def add_cluster_size(df: DataFrame, cluster: str, member: str) -> DataFrame:
     """``df`` with the number of distinct ``member`` in its cluster and a 0/1 flag for clusters of several."""
     sizes = df.groupBy(cluster).agg(F.count_distinct(member).alias("cluster_size"))
-    return df.join(sizes, cluster, "left").withColumn("duplicate_text_cluster_flag", (F.col("cluster_size") > 1).cast("int"))
+    return attach(df, sizes, [cluster]).withColumn("duplicate_text_cluster_flag", (F.col("cluster_size") > 1).cast("int"))
 
 
 def joined_sample(col: str | Column, limit: int, sep: str = "|") -> Column:
@@ -70,7 +70,7 @@ def representatives(df: DataFrame, cluster: str, year: str, key: str) -> DataFra
 def cluster_span(df: DataFrame, cluster: str, year: str) -> DataFrame:
     """``df`` with rows, first and last year of its cluster."""
     span = df.groupBy(cluster).agg(F.count("*").alias("cluster_rows"), F.min(year).alias("cluster_min_year"), F.max(year).alias("cluster_max_year"))
-    return df.join(span, cluster, "left")
+    return attach(df, span, [cluster])
 
 
 def ranked(df: DataFrame, groups: list[str], score: str, ties: list[str]) -> DataFrame:

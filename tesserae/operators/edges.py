@@ -127,7 +127,7 @@ def typed_graph(facts: DataFrame, reverse: bool = True) -> DataFrame:
     ``facts`` has the columns ``award, lead, other (array), institution, program (array), org, directorate, state, year``.
     With ``reverse`` every relation also stands as ``rev_<rel>``.
     """
-    one = lambda rel, s, d, src, dst: facts.select(F.lit(s).alias("src_type"), F.lit(rel).alias("rel"), F.lit(d).alias("dst_type"), src.cast("string").alias("src"), dst.cast("string").alias("dst"))
+    one = lambda rel, s, d, src, dst: facts.select(F.lit(s).alias("src_type"), F.lit(rel).alias("rel"), F.lit(d).alias("dst_type"), src.alias("src"), dst.alias("dst"))
     c = F.col
     source = {
         "led_by": (c("award"), c("lead")), "co_led_by": (c("award"), F.explode("other")), "at": (c("award"), c("institution")), "funded_by": (c("award"), F.explode("program")), "managed_by": (c("award"), c("org")),

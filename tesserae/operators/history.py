@@ -111,6 +111,6 @@ def last_k_links(members: DataFrame, k_by_kind: dict[str, int]) -> DataFrame:
         line = Window.partitionBy("entity").orderBy(F.col("year").asc_nulls_first(), "idx")
         frame = line.rowsBetween(-k if k > 0 else Window.unboundedPreceding, -1)
         rows = members.where(F.col("kind") == kind).select("entity", "idx", "year").distinct()
-        linked = rows.select(F.explode(F.collect_list("idx").over(frame)).alias("src"), F.col("idx").alias("dst"))
+        linked = rows.select(F.collect_list("idx").over(frame).alias("before"), F.col("idx").alias("dst")).select(F.explode("before").alias("src"), "dst")
         parts.append(linked.where("src <> dst").select("src", "dst", F.lit(rank).alias("_rank"), F.lit(kind).alias("kind")))
     return reduce(DataFrame.unionByName, parts).groupBy("src", "dst").agg(F.min_by("kind", "_rank").alias("kind"))

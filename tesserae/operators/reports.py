@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.lexicons import VOCABULARY
+from tesserae.operators.skew import attach
 
 
 def value_counts(df: DataFrame, col: str, order: str) -> DataFrame:
@@ -19,16 +20,16 @@ def value_counts(df: DataFrame, col: str, order: str) -> DataFrame:
 def group_mode(df: DataFrame, groups: list[str], col: str, name: str, default: str = "unknown") -> DataFrame:
     """The most frequent non-blank value per group, of ties the smallest; ``default`` if there is none."""
     value = F.when(F.trim(F.col(col).cast("string")) != "", F.col(col).cast("string"))
-    counts = df.groupBy(*groups, value.alias("_v")).agg(F.count("_v").alias("_n"))
+    counts = df.select(*groups, value.alias("_v")).groupBy(*groups, "_v").agg(F.count("_v").alias("_n"))
     least = counts.groupBy(*groups).agg(F.max("_n").alias("_top"))
-    top = counts.join(least, [counts[g].eqNullSafe(least[g]) for g in groups]).where("_n = _top").select(*[counts[g] for g in groups], "_v")
+    top = attach(counts, least, groups).where("_n = _top")
     return top.groupBy(*groups).agg(F.coalesce(F.min("_v"), F.lit(default)).alias(name))
 
 
 def any_in_group(df: DataFrame, group: str, rule: Column, name: str) -> DataFrame:
     """``df`` with 1 where any row of its group fulfils ``rule``, else 0."""
     flags = df.groupBy(group).agg(F.max(F.coalesce(rule.cast("int"), F.lit(0))).alias(name))
-    return df.join(flags, df[group].eqNullSafe(flags[group]), "left").select(*[df[c] for c in df.columns], name)
+    return attach(df, flags, [group])
 
 
 def long_counts(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.lexicons import STRATUM_WEIGHTS
+from tesserae.operators.dedup import row_ids
+from tesserae.session import cut_lineage
 
 
 def make_quota(total: int, weights: dict[str, float] = STRATUM_WEIGHTS) -> dict[str, int]:
@@ -68,8 +70,8 @@ def cluster_sample(df: DataFrame, cluster: str, target: int, cap: int | None = N
                 held += int(n)
         return pd.DataFrame({"cluster": pd.Series(taken, dtype="object")})
 
-    chosen = table.groupBy("part").applyInPandas(fold, "cluster string")
-    return pool.join(chosen, pool[cluster].cast("string") == chosen["cluster"], "left_semi")
+    chosen = table.groupBy("part").applyInPandas(fold, "cluster string").select(F.col("cluster").alias("_c"))
+    return pool.withColumn("_c", F.col(cluster).cast("string")).join(chosen, "_c", "left_semi").select(*pool.columns)
 
 
 def matched_background(pool: DataFrame, reference: DataFrame, keys: list[str], key: str, total: int, seed: int = 42) -> DataFrame:
@@ -85,15 +87,14 @@ def matched_background(pool: DataFrame, reference: DataFrame, keys: list[str], k
 
 def annotation_sample(df: DataFrame, key: str, cluster: str, stratum: str, total: int, forced: DataFrame | None = None, seed: int = 42, labels: list[str] = ()) -> DataFrame:
     """A sample for annotation: forced clusters first, whole clusters per stratum by quota, then any clusters until ``total``; numbered in hashed order with empty label columns."""
-    picked = df.limit(0) if forced is None else df.join(forced.select(cluster).distinct(), cluster, "left_semi")
+    df = cut_lineage(df)
+    picked = df.limit(0) if forced is None else cut_lineage(df.join(forced.select(cluster).distinct(), cluster, "left_semi"))
     quota = make_quota(max(total - picked.count(), 0))
     for name, n in quota.items():
-        if n:
-            picked = picked.unionByName(cluster_sample(df.where(F.col(stratum) == name), cluster, n, seed=seed, exclude=picked))
+        if n:  # each step is written, so that the plan doesn't grow with the steps
+            picked = cut_lineage(picked.unionByName(cluster_sample(df.where(F.col(stratum) == name), cluster, n, seed=seed, exclude=picked)))
     lacking = total - picked.count()
     if lacking > 0:
-        picked = picked.unionByName(cluster_sample(df, cluster, lacking, seed=seed, exclude=picked))
-    from tesserae.operators.dedup import row_ids
-
+        picked = cut_lineage(picked.unionByName(cluster_sample(df, cluster, lacking, seed=seed, exclude=picked)))
     out = row_ids(sample_n(picked, key, total, seed).withColumn("_o", hashed_order(key, seed)), ["_o", key], "ann_", 5, "annotation_id").drop("_o")
     return out.withColumns({c: F.lit(None).cast("string") for c in labels})

@@ -68,3 +68,10 @@ def bucketed_running(df: DataFrame, group: str, order: str, tie: str, weight: Co
     inside = Window.partitionBy(group, "_slot").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
     ranked = held.withColumn("_in", F.sum("_w").over(inside))
     return ranked.join(sums.drop("_sum"), [group, "_slot"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_w", "_slot", "_in", "_before")
+
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``small``, which has each combination of ``keys`` at most once; null equals null."""
+    renamed = small.select(*[F.col(f"`{k}`").alias(f"_k{n}") for n, k in enumerate(keys)], *[F.col(f"`{c}`") for c in small.columns if c not in keys])
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
+    return df.join(renamed, same, "left").drop(*[f"_k{n}" for n in range(len(keys))])

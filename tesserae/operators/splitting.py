@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import hash_bucket
 from tesserae.operators.components import connected_components
 from tesserae.operators.reports import group_mode
+from tesserae.operators.skew import attach
 
 #: Cut points of the time split and bounds of the hash split. Fixed values.
 TRAIN_UNTIL, VALIDATION_UNTIL = 2016, 2019
@@ -32,15 +33,14 @@ def temporal_split(df: DataFrame, cluster: str, year: str, name: str = "split",
     """``df`` with the split of the latest year of its cluster; clusters without any year are ``unknown``."""
     last = df.groupBy(cluster).agg(F.max(year).alias("_y"))
     rule = F.when(F.col("_y").isNull(), "unknown").when(F.col("_y") <= train_until, SPLITS[0]).when(F.col("_y") <= validation_until, SPLITS[1]).otherwise(SPLITS[2])
-    both = df.join(last, df[cluster].eqNullSafe(last[cluster]), "left")
-    return both.select(*[df[c] for c in df.columns], rule.alias(name))
+    return attach(df, last, [cluster]).withColumn(name, rule).drop("_y")
 
 
 def transfer_split(df: DataFrame, cluster: str, source, target, name: str = "split") -> DataFrame:
     """``test`` for clusters with any row of ``target``, ``train`` for others with any row of ``source``, else ``unused``."""
     flags = df.groupBy(cluster).agg(F.max(F.coalesce(target.cast("int"), F.lit(0))).alias("_t"), F.max(F.coalesce(source.cast("int"), F.lit(0))).alias("_s"))
-    both = df.join(flags, df[cluster].eqNullSafe(flags[cluster]), "left")
-    return both.select(*[df[c] for c in df.columns], F.when(F.col("_t") == 1, SPLITS[2]).when(F.col("_s") == 1, SPLITS[0]).otherwise("unused").alias(name))
+    rule = F.when(F.col("_t") == 1, SPLITS[2]).when(F.col("_s") == 1, SPLITS[0]).otherwise("unused")
+    return attach(df, flags, [cluster]).withColumn(name, rule).drop("_t", "_s")
 
 
 def component_split(df: DataFrame, cluster: str, key: str, name: str = "split", unknown_ties: bool = True) -> DataFrame:
@@ -73,9 +73,9 @@ def greedy_split(df: DataFrame, cluster: str, stratum: str, name: str = "split",
     holds a stratum of any size.
     """
     modes = group_mode(df, [cluster], stratum, "stratum")
-    sizes = df.groupBy(cluster).agg(F.count("*").alias("n")).join(modes, cluster)
+    sizes = df.groupBy(cluster).agg(F.count("*").alias("n"))
     order = F.sha1(F.concat(F.lit(f"{seed}|"), F.col(cluster).cast("string")))
-    table = sizes.select(F.col(cluster).cast("string").alias("cluster"), "n", "stratum", order.alias("o"), (F.pmod(F.xxhash64(cluster), F.lit(parts))).cast("int").alias("part"))
+    table = attach(sizes, modes, [cluster]).select(F.col(cluster).cast("string").alias("cluster"), "n", "stratum", order.alias("o"), (F.pmod(F.xxhash64(cluster), F.lit(parts))).cast("int").alias("part"))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["o", "cluster"])
@@ -84,7 +84,7 @@ def greedy_split(df: DataFrame, cluster: str, stratum: str, name: str = "split",
     dealt = table.groupBy("stratum", "part").applyInPandas(fold, "cluster string, dealt string")
     rule = bucket_split(hash_bucket(F.concat(F.lit(f"{name}:"), F.col("cluster"))))
     dealt = dealt.select("cluster", F.coalesce("dealt", rule).alias(name))
-    return df.join(dealt, df[cluster].cast("string") == dealt["cluster"], "left").drop("cluster")
+    return attach(df.withColumn("_c", F.col(cluster).cast("string")), dealt.withColumnRenamed("cluster", "_c"), ["_c"]).drop("_c")
 
 
 def carve_validation(df: DataFrame, unit: str, label: str | None = None, share: float = 0.15, seed: int = 42, mode: str = "cluster") -> DataFrame:
