@@ -125,4 +125,36 @@ def p8_composition(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_rows, p4_report, p5_found, p5_people, p5_organisations, p6_ids, p7_mix, p7_report, p8_found, p8_composition)}
-ORACLE: dict[str, str] = {}
+
+_UNKNOWN = ", ".join(f"'{w}'" for w in splits.NOT_KNOWN)
+
+
+def _tie(col: str) -> str:
+    return f"case when regexp_replace(lower({col}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') not in ('', {_UNKNOWN}) then lower(trim(regexp_replace({col}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g'))) end"
+
+
+def _groups_sql(ties: list[str]) -> str:
+    """Rows and tie values as a graph; the smallest row that reaches a node, by recursion."""
+    links = " union ".join(f"select benchmark_id as r, '{k}:' || {_tie(c)} as k from methodkg_labeled_benchmark_v3_modeling" for k, c in enumerate(ties))
+    return f"""with recursive b as materialized (select * from ({links}) where k is not null), e as materialized (select r as a, k as b from b union all select k, r from b),
+    reach(n, least) using key (n) as (select benchmark_id, benchmark_id from methodkg_labeled_benchmark_v3_modeling union select distinct k, '~' from b
+        union select e.b, min(reach.least) from reach join e on e.a = reach.n join recurring.reach old on old.n = e.b where reach.least < old.least group by e.b)
+    select least as first_id, benchmark_id from reach join methodkg_labeled_benchmark_v3_modeling on benchmark_id = n where least <> benchmark_id"""
+
+
+def _canonical(col: str) -> str:
+    return f"regexp_replace(lower(nfc_normalize(coalesce({col}, ''))), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
+
+
+_PAIR = f"(select record_id, least({_canonical('title_clean')}, {_canonical('abstract_clean')}) as a, greatest({_canonical('title_clean')}, {_canonical('abstract_clean')}) as b from cleaned_nsf_awards_2000_2025)"
+_LABEL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_')"
+_CELLS = f"""with latest as (select * from (select *, row_number() over (partition by award_id order by last_amendment_date desc nulls last, record_id) as k from nsf_awards_with_methodology_flags where award_id is not null) where k = 1 and has_abstract = 1),
+    counts as (select t.cell_id, count(l.record_id) as available from sample_targets t left join latest l on {_LABEL.format("l.candidate_stratum")} = {_LABEL.format("t.candidate_stratum")} and {_LABEL.format("l.nsforganization")} = {_LABEL.format("t.nsforganization")} and l.start_year between t.year_from and t.year_to group by 1)"""
+
+#: SQL where it can say the same over whole tables; the others are tested against brute force, round trips or held-out rows.
+ORACLE: dict[str, str] = {
+    "p1_found": _groups_sql(PI_TIES),
+    "p2_found": f"select * from (select min(record_id) over (partition by a, b) as first_id, record_id from {_PAIR} where b <> '') where first_id <> record_id",
+    "p2_collapsed": f"with g as (select *, min(record_id) over w as f, count(*) over w as n from {_PAIR} where b <> '' window w as (partition by a, b)) select c.record_id, c.award_id, c.title_clean, coalesce(g.n, 1) as n_copies from cleaned_nsf_awards_2000_2025 c left join g using (record_id) where g.f is null or g.f = c.record_id",
+    "p3_found": f"{_CELLS} select cell_id from counts join sample_targets using (cell_id) where available < greatest(min_rows, ceil(target_bp * sample_size / 10000.0))",
+}
