@@ -21,9 +21,8 @@ def as_col(x: ColumnLike) -> Column:
 
 def unwrap(x: ColumnLike) -> Column:
     """A spreadsheet value without its wrapper: ``="0555934"`` and ``='0555934'`` become ``0555934``."""
-    s = F.trim(F.coalesce(as_col(x).cast("string"), F.lit("")))
-    wrapped = (F.length(s) >= 3) & (s.rlike(r'(?s)^=".*"$') | s.rlike(r"(?s)^='.*'$"))
-    return F.trim(F.when(wrapped, F.regexp_replace(F.regexp_replace(s, r"^=['\"]", ""), r"['\"]$", "")).otherwise(s))
+    # each argument stands once in these expressions, or nested cleaners would grow without bound
+    return F.trim(F.regexp_replace(F.trim(F.coalesce(as_col(x).cast("string"), F.lit(""))), r"""(?s)^=(["'])(.*)\1$""", "$2"))
 
 
 def squeeze(x: ColumnLike) -> Column:
@@ -52,8 +51,7 @@ def id_text(x: ColumnLike) -> Column:
 
 def stable_id(prefix: str, x: ColumnLike, digits: int = 12) -> Column:
     """``<prefix>_`` and the first hex digits of the SHA-1 of ``id_text``; blank values share the id of ``unknown``."""
-    text = id_text(x)
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha1(F.when(text == "", "unknown").otherwise(text)), 1, digits))
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha1(F.regexp_replace(id_text(x), "^$", "unknown")), 1, digits))
 
 
 def hash_bucket(key: ColumnLike, buckets: int = 100) -> Column:
@@ -86,8 +84,8 @@ def clean_name(x: ColumnLike) -> Column:
 
 def person_id(name: ColumnLike, email: ColumnLike) -> Column:
     """Id from the address if there is one, else from the cleaned name."""
-    mail = first_email(email)
-    return stable_id("person", F.when(mail != "", F.concat(F.lit("email:"), mail)).otherwise(F.concat(F.lit("name:"), clean_name(name))))
+    mail = F.get(emails(email), F.lit(0))
+    return stable_id("person", F.coalesce(F.concat(F.lit("email:"), mail), F.concat(F.lit("name:"), clean_name(name))))
 
 
 def name_tokens(x: ColumnLike) -> Column:
