@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.numeric import add_log_copies, summarize_list, years_since
 from tesserae.operators.edges import pair_members
+from tesserae.operators.order import global_row_number
+from tesserae.session import cut_lineage
 
 
 def prior_counts(events: DataFrame, targets: DataFrame, keys: list[str], year: str = "year", name: str = "prior") -> DataFrame:
@@ -104,13 +106,18 @@ def last_k_links(members: DataFrame, k_by_kind: dict[str, int]) -> DataFrame:
     """``(src, dst, kind)``: links from each of the up to k predecessors of a row in its group to the row.
 
     ``members``: ``kind, entity, idx, year``. Order inside a group is (year, idx), null years first; same-year predecessors count. ``k <= 0`` means all
-    predecessors. A link found by several kinds is credited to the first in the order of ``k_by_kind``. The frame holds k rows, so output grows as k times rows.
+    predecessors (quadratic by definition, for small groups). A link found by several kinds is credited to the first in the order of ``k_by_kind``.
     """
     parts = []
     for rank, (kind, k) in enumerate(k_by_kind.items()):
-        line = Window.partitionBy("entity").orderBy(F.col("year").asc_nulls_first(), "idx")
-        frame = line.rowsBetween(-k if k > 0 else Window.unboundedPreceding, -1)
-        rows = members.where(F.col("kind") == kind).select("entity", "idx", "year").distinct()
-        linked = rows.select(F.collect_list("idx").over(frame).alias("before"), F.col("idx").alias("dst")).select(F.explode("before").alias("src"), "dst")
+        rows = members.where((F.col("kind") == kind) & F.col("entity").isNotNull()).select("entity", "idx", "year").distinct()
+        if k > 0:
+            # rows are numbered over all groups; a predecessor at distance o is an equi-join on the number, so no task holds a whole group
+            placed = cut_lineage(global_row_number(rows, ["entity", "year", "idx"], "n").select("entity", "idx", "n"))
+            ahead = placed.select("entity", F.col("idx").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda o: F.col("n") + o)).alias("n"))
+            linked = ahead.join(placed.withColumnRenamed("idx", "dst"), ["entity", "n"]).select("src", "dst")
+        else:
+            line = Window.partitionBy("entity").orderBy(F.col("year").asc_nulls_first(), "idx").rowsBetween(Window.unboundedPreceding, -1)
+            linked = rows.select(F.collect_list("idx").over(line).alias("before"), F.col("idx").alias("dst")).select(F.explode("before").alias("src"), "dst")
         parts.append(linked.where("src <> dst").select("src", "dst", F.lit(rank).alias("_rank"), F.lit(kind).alias("kind")))
     return reduce(DataFrame.unionByName, parts).groupBy("src", "dst").agg(F.min_by("kind", "_rank").alias("kind"))

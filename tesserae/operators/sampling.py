@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.lexicons import STRATUM_WEIGHTS
 from tesserae.operators.dedup import row_ids
+from tesserae.operators.skew import attach, bucketed_running, hex_order
 from tesserae.session import cut_lineage
 
 
@@ -79,10 +80,11 @@ def matched_background(pool: DataFrame, reference: DataFrame, keys: list[str], k
     cells = reference.groupBy(*keys).agg(F.count("*").alias("_r"))
     whole = cells.agg(F.sum("_r").alias("_all"))
     goals = cells.join(F.broadcast(whole), F.lit(True)).select(*keys, F.round(F.col("_r") * total / F.col("_all")).cast("int").alias("_goal"))  # one row
-    h = hashed_order(key, seed)
-    ranked = pool.join(goals, keys, "left").withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(h, key)))
+    cell = F.to_json(F.struct(*keys))
+    held = attach(pool, goals, keys).withColumn("_g", cell).withColumn("_d", hashed_order(key, seed)).withColumn("_h", hex_order("_d"))
+    ranked = bucketed_running(held, "_g", "_h", "_d", name="_rank")
     first = F.when(F.col("_rank") <= F.coalesce("_goal", F.lit(0)), 0).otherwise(1)
-    return ranked.orderBy(first, h, key).limit(total).drop("_goal", "_rank")
+    return ranked.orderBy(first, "_d", key).limit(total).select(*pool.columns)
 
 
 def annotation_sample(df: DataFrame, key: str, cluster: str, stratum: str, total: int, forced: DataFrame | None = None, seed: int = 42, labels: list[str] = ()) -> DataFrame:

@@ -50,6 +50,12 @@ def permuted(*cols: str | Column, seed: int = 42) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def hex_order(digest: str) -> Column:
+    """A 64-bit number that orders as a hex digest does (by its first 15 digits), over the whole signed range."""
+    top = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")  # 60 bits
+    return (top - F.lit(1 << 59)) * 16
+
+
 def bucketed_running(df: DataFrame, group: str, order: str, tie: str, weight: Column | None = None, buckets: int = 64, total: str | None = None, name: str = "rank") -> DataFrame:
     """Running sum of ``weight`` (or rank from 1) inside ``group`` by the uniform 64-bit hash column ``order``.
 

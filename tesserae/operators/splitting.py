@@ -4,13 +4,13 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import hash_bucket
 from tesserae.operators.components import connected_components
 from tesserae.operators.reports import group_mode
-from tesserae.operators.skew import attach
+from tesserae.operators.skew import attach, bucketed_running, hex_order
 
 #: Cut points of the time split and bounds of the hash split. Fixed values.
 TRAIN_UNTIL, VALIDATION_UNTIL = 2016, 2019
@@ -105,8 +105,7 @@ def carve_validation(df: DataFrame, unit: str, label: str | None = None, share:
 
 def exact_carve(df: DataFrame, key: str, label: str, share: float = 0.15, seed: int = 42) -> DataFrame:
     """``df`` with exactly the rounded share of each label as validation, by ranked hash."""
-    w = Window.partitionBy(label).orderBy(F.sha1(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("internal_split", F.when(F.row_number().over(w) <= F.round(n * share), SPLITS[1]).otherwise(SPLITS[0]))
-
-
+    h = F.sha1(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    # the first 15 hex digits, spread over all 64-bit numbers, order as the digest does; the digest itself decides ties
+    ranked = bucketed_running(df.withColumn("_g", F.coalesce(F.col(label).cast("string"), F.lit(""))).withColumn("_d", h).withColumn("_h", hex_order("_d")), "_g", "_h", "_d", total="_all", name="_r")
+    return ranked.withColumn("internal_split", F.when(F.col("_r") <= F.round(F.col("_all") * share), SPLITS[1]).otherwise(SPLITS[0])).drop("_g", "_d", "_h", "_all", "_r")

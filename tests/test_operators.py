@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import numeric, people, signals, text
-from tesserae.operators import dedup, edges, history, joins, metrics, models, order, reports, sampling, splitting, walks
+from tesserae.operators import dedup, edges, experiments, history, joins, metrics, models, order, reports, sampling, splitting, walks
 from tesserae.operators.components import connected_components
 from tesserae.operators.skew import bucketed_running, hot_keys, lookup, permuted
 from tesserae.plans import pipelines
@@ -284,6 +284,24 @@ def test_models(spark):
         models.fine_tune()
 
 
+def test_experiment_matrix_and_node_features(spark):
+    def run(cell):
+        if cell["model"] == "bad":
+            raise RuntimeError("no such model")
+        return {"macro_f1": 0.5, "evaluated_on": " Test"}
+
+    out = experiments.run_matrix(spark, [{"target": "t", "model": m} for m in ("good", "bad")], run)
+    got = {r["model"]: (r["macro_f1"], r["error"]) for r in out.collect()}
+    assert got == {"good": (0.5, None), "bad": (None, "no such model")} and experiments.evaluation_rows(out).count() == 1
+    awards = spark.createDataFrame([("1", 2000, 5.0, "A", ["x", "y"]), ("2", 2010, None, "B", ["z"]), ("3", None, -1.0, None, None)], "id string, year int, amount double, org string, codes array<string>")
+    feats = experiments.award_node_features(awards, "id", "year", ["amount"], ["org"], "codes", top=2)
+    assert feats.columns == ["id", "x_year", "x_amount_log1p", "x_org_A", "x_org_B", "x_codes_x", "x_codes_y", "x_codes_OTHER"]
+    assert [tuple(r)[1:] for r in feats.orderBy("id").collect()][1] == (1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0)
+    text_rows = experiments.with_text_features(feats, "id", spark.createDataFrame([("1", [1.0])], "id string, v array<float>"), "v", 1)
+    assert {r["id"]: r["has_text_embedding"] for r in text_rows.collect()} == {"1": 1, "2": 0, "3": 0}
+    assert experiments.same_tables(awards, awards.repartition(3)) and not experiments.same_tables(awards, awards.limit(1))
+
+
 def test_pipelines(spark):
     raw = spark.read.parquet("/root/testdata/sf0.001/cleaned_nsf_awards_2000_2025.parquet")
     out = pipelines.awards_to_tables(raw)
