@@ -7,7 +7,7 @@ shares as long as no source has run out; the mix is the prefix of the total budg
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.tokens import TOKENIZERS, token_counts
@@ -61,7 +61,6 @@ def mix_sources(docs: DataFrame, weights: DataFrame, budget: int | None = None,
     got = mix.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_distinct("doc_id").alias("n_distinct"), F.max("copy").alias("_top"), F.sum("n_tokens").alias("n_tokens"))
     supplied = spark.createDataFrame([(s, n) for s, n in supply.items()], "source string, supply bigint")
     report = table.join(got, "source", "left").join(supplied, "source", "left").na.fill(0, ["n_docs", "n_distinct", "n_tokens"])
-    whole = report.agg(F.sum("n_tokens").alias("_sum"))
-    report = report.join(whole, F.lit(True))  # one row beside the listed sources
+    report = report.withColumn("_sum", F.sum("n_tokens").over(Window.partitionBy()))  # over the listed sources
     report = report.select("source", "target_share", "max_repeats", "n_docs", "n_distinct", F.coalesce(F.col("_top") + 1, F.lit(0)).cast("int").alias("most_repeats"), "n_tokens", F.when(F.col("_sum") > 0, F.col("n_tokens") / F.col("_sum")).otherwise(0.0).alias("actual_share"), (F.col("n_tokens") >= F.col("supply")).alias("exhausted"))
     return mix.orderBy("finish_time", "source", "doc_id"), report
