@@ -54,9 +54,9 @@ def cluster_span(t):
     return dedup.cluster_span(t.awards.select("record_id", "award_id", "start_year"), "award_id", "start_year").select("record_id", "cluster_rows", "cluster_min_year", "cluster_max_year")
 
 
-@query("select record_id, 'methodkg_v3_' || lpad(row_number() over (order by record_id)::varchar, 9, '0') as benchmark_id from $awards")
+@query("select record_id, 'bench_v3_' || lpad(row_number() over (order by record_id)::varchar, 9, '0') as benchmark_id from $awards")
 def sequence_ids(t):
-    return dedup.row_ids(t.awards.select("record_id"), ["record_id"], "methodkg_v3_", 9, "benchmark_id")
+    return dedup.row_ids(t.awards.select("record_id"), ["record_id"], "bench_v3_", 9, "benchmark_id")
 
 
 @query("select record_id, award_id from $awards where start_year between 2005 and 2015")
