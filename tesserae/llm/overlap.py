@@ -1,21 +1,22 @@
-"""Problem 4: same or near-same texts across splits, by winnowing fingerprints.
+"""Problem 4: same or near-same texts across splits, by winnowing fingerprints and an exact filter on words.
 
 Texts that are equal but for formatting form a class. Rolling hashes of ``K`` words are winnowed: every run of ``K + WINDOW - 1`` words
 that two texts share yields a common fingerprint. Fingerprints that occur in training and evaluation classes are seeds; the seeds of a pair are chained
 collinearly and the gaps between them aligned. A pair is near if more than ``SHARE`` of the words of the longer text are aligned.
 
-A fingerprint that would pair more than ``PAIRS`` classes (boilerplate) isn't dropped: it is lengthened with the next fingerprints of its text, twice as far each
-time, until it is rare or reaches the greatest length, where it is used whatever it pairs. So the number of pairs grows with the number of texts, not with
-its square, and what is left out are only pairs that share nothing but short pieces that very many texts share.
+A fingerprint that would pair more than ``PAIRS`` classes (boilerplate, hot groups of copies) is no seed. No pair depends on it: which pairs are
+aligned is decided by words. Of two texts with more than ``SHARE`` of the longer in common, the rarest words share one (prefix filtering; the k-th time a word
+stands in a text counts as a word of its own), so the classes are joined by their rarest words. The classes of a frequent word are dealt to squares of ``SIDE`` x ``SIDE``,
+where an upper bound of the common words, by ``BITS`` hashed bits a class, decides before any row is made. Nothing is left out, whatever a group's size;
+the time of the squares grows with the square of the number of classes that have a frequent word among their rarest.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.skew import lookup
@@ -23,10 +24,10 @@ from tesserae.session import cut_lineage
 
 #: Words of a rolling hash; hashes of a window, of which the least is kept.
 K, WINDOW = 4, 5
-#: Pairs of classes of one seed beyond which it is lengthened.
+#: Pairs of classes beyond which a fingerprint is no seed, and a word is compared by squares.
 PAIRS = 400
-#: Lengths of seeds, in fingerprints.
-LENGTHS = (1, 2, 4, 8)
+#: Classes of a side of a square; bits of a class for the bound of common words.
+SIDE, BITS = 2000, 1024
 #: Aligned share of the longer text above which a pair is near. True cases have more than 2/3, others less than 3/5.
 SHARE = 0.6333
 
@@ -55,35 +56,94 @@ def text_classes(df: DataFrame, id_col: str, text_col: str, split_col: str) -> t
     return rows.select("id", "split", "cid"), cut_lineage(classes.withColumn("n", F.size("w")))
 
 
-def _lengthened(seeds: str, by: int) -> Column:
-    """Each seed hashed with the one ``by`` places after it; at the end of the text, alone."""
-    return F.transform(seeds, lambda x, i: F.xxhash64(F.lit(by), x, F.get(F.col(seeds), i + by)))
-
-
 def fingerprints(classes: DataFrame) -> DataFrame:
-    """One row per winnowed fingerprint of each class, with its position and the seeds of all ``LENGTHS`` that begin with it."""
+    """One row per winnowed fingerprint of each class, with its position."""
     short = F.least(F.lit(K), F.col("n"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - short + 1, F.lit(1))), lambda i: F.struct(F.xxhash64(F.slice("w", i, short)).alias("h"), (-i).alias("at")))
     least = F.transform(F.sequence(F.lit(1), F.greatest(F.size("g") - WINDOW + 1, F.lit(1))), lambda i: F.array_min(F.slice("g", i, WINDOW)))
-    kept = classes.select("cid", "n", "t", "e", grams.alias("g")).select("cid", "n", "t", "e", F.array_distinct(least).alias("f"))
-    kept = kept.select("cid", "n", "t", "e", F.transform("f", lambda x: -x["at"]).alias("pos"), F.transform("f", lambda x: x["h"]).alias("s1"))
-    for half in LENGTHS[:-1]:
-        kept = kept.withColumn(f"s{2 * half}", _lengthened(f"s{half}", half))
-    zipped = F.explode(F.arrays_zip("pos", *[f"s{k}" for k in LENGTHS]))
-    return kept.select("cid", "n", "t", "e", zipped.alias("z")).select("cid", "n", "t", "e", "z.*")
+    kept = classes.select("cid", "n", "t", "e", grams.alias("g")).select("cid", "n", "t", "e", F.explode(F.array_distinct(least)).alias("f"))
+    return kept.select("cid", "n", "t", "e", (-F.col("f.at")).alias("pos"), F.col("f.h").alias("seed"))
+
+
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in training and evaluation classes, with the numbers ``n_t`` and ``n_e`` of each."""
+    counts = rows.groupBy(key).agg(F.sum("t").alias("n_t"), F.sum("e").alias("n_e")).where("n_t > 0 and n_e > 0")
+    return lookup(rows, counts, key)
 
 
 def shared_seeds(classes: DataFrame) -> DataFrame:
-    """``(seed, cid, n, t, e, pos)``: the seeds that join training and evaluation classes, lengthened where they are frequent."""
-    rest, parts = cut_lineage(fingerprints(classes)), []
-    for k in LENGTHS:
-        seed = f"s{k}"
-        counts = rest.groupBy(seed).agg(F.sum("t").alias("n_t"), F.sum("e").alias("n_e")).where("n_t > 0 and n_e > 0")
-        met = cut_lineage(lookup(rest, counts.select(seed, (F.col("n_t") * F.col("n_e")).alias("pairs")), seed))
-        last = k == LENGTHS[-1]
-        parts.append(met.where(F.lit(last) | (F.col("pairs") <= PAIRS)).select(F.col(seed).alias("seed"), "cid", "n", "t", "e", "pos"))
-        rest = met.where(F.col("pairs") > PAIRS).drop("pairs")
-    return reduce(DataFrame.unionAll, parts)
+    """``(seed, cid, n, t, e, pos)``: the seeds that join training and evaluation classes and are not frequent."""
+    return _met(fingerprints(classes), "seed").where(F.col("n_t") * F.col("n_e") <= PAIRS).drop("n_t", "n_e")
+
+
+def rarest_words(classes: DataFrame) -> DataFrame:
+    """``(word, cid, n, t, e)``: of each class the rarest words, as many as hold one of any text that is near; the k-th time of a word is a word of its own."""
+    rows = classes.select("cid", "n", "t", "e", F.posexplode("w").alias("at", "w"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("cid", "w").orderBy("at")))
+    rows = cut_lineage(rows.select("cid", "n", "t", "e", F.xxhash64("w", "k").alias("word")))
+    counts = rows.groupBy("word").agg((F.sum("t") * F.sum("e")).alias("pairs"))
+    ordered = lookup(rows, counts, "word").groupBy("cid", "n", "t", "e").agg(F.array_sort(F.collect_list(F.struct("pairs", "word"))).alias("z"))
+    # near texts have at least floor(SHARE n) + 1 words in common, so one of the n - floor(SHARE n) rarest is common
+    first = F.slice("z", F.lit(1), F.col("n") - F.floor(F.lit(SHARE) * F.col("n")).cast("int"))
+    return ordered.select("cid", "n", "t", "e", F.explode(F.filter(first, lambda x: x["pairs"] > 0)).alias("z")).select("z.word", "cid", "n", "t", "e")
+
+
+def _bits(batches: Iterator) -> Iterator:
+    """Classes with one hashed bit per word and time."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for w in batch.column(1).to_pylist():
+            row, times = np.zeros(BITS, np.uint8), {}
+            for x in w:
+                k = times[x] = times.get(x, 0) + 1
+                row[((x * 0x9E3779B97F4A7C15 + k * 0xBF58476D1CE4E5B9) >> 20) % BITS] = 1
+            out.append(np.packbits(row).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["cid", "bits"])
+
+
+def _square(group):
+    """The pairs of a square of training and evaluation classes that may have more than ``SHARE`` of their words in common."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sides = []
+    for is_train in (True, False):
+        part = group.filter(pc.equal(group.column("is_train"), is_train))
+        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, BITS // 8)
+        bits, n = np.unpackbits(bits, axis=1).astype(np.float32), part.column("n").to_numpy().astype(np.int64)
+        # words beyond the set bits share a bit with another one and may all be common
+        sides.append((part.column("cid"), bits, n, n - bits.sum(axis=1).astype(np.int64)))
+    (a, x, nx, more_x), (b, y, ny, more_y) = sides
+    longer = np.maximum(nx[:, None], ny)
+    able = np.minimum(more_x[:, None], more_y) + x @ y.T > SHARE * longer
+    i, j = np.nonzero(able & (np.minimum(nx[:, None], ny) > SHARE * longer))
+    return pa.table({"a": pa.array(a.take(pa.array(i)).to_pylist(), pa.string()), "b": pa.array(b.take(pa.array(j)).to_pylist(), pa.string())})
+
+
+def able_pairs(classes: DataFrame) -> DataFrame:
+    """``(x, y)``, x < y: pairs of a training and an evaluation class among which are all that are near."""
+    met = cut_lineage(_met(rarest_words(classes), "word"))
+    rare = met.where(F.col("n_t") * F.col("n_e") <= PAIRS)
+    left = rare.where("t = 1").select("word", F.col("cid").alias("a"), F.col("n").alias("na"))
+    right = rare.where("e = 1").select("word", F.col("cid").alias("b"), F.col("n").alias("nb"))
+    few = left.join(right, "word").where(F.least("na", "nb") > SHARE * F.greatest("na", "nb")).select("a", "b")
+    bits = cut_lineage(classes.select("cid", "w").mapInArrow(_bits, "cid string, bits binary"))
+    often = lookup(met.where(F.col("n_t") * F.col("n_e") > PAIRS), bits, "cid")
+
+    def side(is_train: bool) -> DataFrame:
+        own, other = ("n_t", "n_e") if is_train else ("n_e", "n_t")
+        parts = lambda c: F.ceil(F.col(c) / F.lit(SIDE)).cast("int")
+        mine, theirs = F.pmod(F.xxhash64("cid"), parts(own)).cast("int"), F.explode(F.sequence(F.lit(0), parts(other) - 1))
+        rows = often.where("t = 1" if is_train else "e = 1").withColumn("mine", mine).withColumn("theirs", theirs)
+        i, j = ("mine", "theirs") if is_train else ("theirs", "mine")
+        return rows.select("word", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(is_train).alias("is_train"), "cid", "n", "bits")
+
+    many = side(True).unionAll(side(False)).groupBy("word", "i", "j").applyInArrow(_square, "a string, b string")
+    return few.unionAll(many).where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
 def _lcs(a: list[int], b: list[int]) -> int:
@@ -157,7 +217,9 @@ def near_classes(classes: DataFrame) -> DataFrame:
     met = left.join(right, "seed").where((F.col("x") != F.col("y")) & (F.least("nx", "ny") > SHARE * F.greatest("nx", "ny")))
     one = F.col("x") < F.col("y")
     met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.struct(F.when(one, F.col("px")).otherwise(F.col("py")).alias("p"), F.when(one, F.col("py")).otherwise(F.col("px")).alias("q")).alias("s"))
-    pairs = cut_lineage(met.groupBy("x", "y").agg(F.collect_set("s").alias("s")))
+    chains = met.groupBy("x", "y").agg(F.collect_set("s").alias("s"))
+    pairs = able_pairs(classes).join(chains, ["x", "y"], "left").select("x", "y", F.coalesce("s", F.array().cast("array<struct<p:int,q:int>>")).alias("s"))
+    pairs = cut_lineage(pairs)
     texts = classes.select("cid", "w", "n")
     pairs = lookup(pairs, texts.select(F.col("cid").alias("x"), F.col("w").alias("wx"), F.col("n").alias("nx")), "x")
     pairs = lookup(pairs, texts.select(F.col("cid").alias("y"), F.col("w").alias("wy"), F.col("n").alias("ny")), "y")

@@ -208,6 +208,24 @@ def test_overlap_matches_brute_force(spark):
     assert hit == {x for p in got for x in p if of[x] in ("test", "validation")}
 
 
+def edited(words, every, seed):
+    """The words with one of each run of ``every`` replaced by a word of its own, each at another place of its run."""
+    r, out = random.Random(seed), list(words)
+    for at in range(0, len(out), every):
+        out[min(at + r.randrange(every), len(out) - 1)] = f"own{seed}x{at}"
+    return " ".join(out)
+
+
+def test_overlap_of_hot_group_of_scattered_edits(spark):
+    base = text(150, 8000).split()
+    rows = [(f"g{i:03d}", edited(base, 10, i), "train" if i < 60 else "test") for i in range(100)]
+    df = spark.createDataFrame(rows, "benchmark_id string, abstract_clean string, split string")
+    want = brute_pairs(rows)
+    assert len(want) == 60 * 40
+    got = {tuple(x) for x in overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").collect()}
+    assert got == want
+
+
 def test_overlap_of_empty_table(spark):
     df = spark.createDataFrame([], "benchmark_id string, abstract_clean string, split string")
     assert overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").count() == 0
