@@ -1,7 +1,7 @@
 """Problem 5: variant spellings of names, by merge-and-rematch resolution.
 
 A spelling is parsed into a stable part (last name, town), a part that gets abbreviated (first name, kind of organisation), a middle initial and an anchor:
-what ties rows for certain (an e-mail address, a city). Spellings start as small profiles. In each round every profile without anchor
+what ties rows for certain (an e-mail address). The city of an organisation is no anchor but evidence: it speaks for a partner, and against one whose name is not equal. Spellings start as small profiles. In each round every profile without anchor
 looks through the blocks of all its spellings for the one profile that fits best and is merged into it; the merged profile has the spellings, initials and
 anchor of both and enters the next round, so that what was undecided before may be decided then. The rounds end when nothing merges.
 A profile takes at most one partner a round and only a richer one, so two anchors never end in one profile.
@@ -94,9 +94,9 @@ def person_spellings(edges: DataFrame) -> DataFrame:
 
 
 def organisation_spellings(awards: DataFrame) -> DataFrame:
-    """``(id, last, first, full, mid, anchor)``: spellings of each ``institution_id``; last is the town, first the kind, the anchor city and kind.
+    """``(id, last, first, full, mid, anchor, town)``: spellings of each ``institution_id``; last are the name's own words, first the kind, town the city. None has an anchor.
 
-    Null and blank organisations are left out. The city of an id is the one most of its rows have.
+    Null and blank organisations are left out. The city of an id is the one most of its rows have; a name without words of its own is known by it. A name without a known kind has the kind ``-``.
     """
     rows = awards.where("institution_id is not null and trim(organization_clean) <> ''").groupBy(F.col("institution_id").alias("id"), F.col("organization_clean").alias("name"), F.trim(_fold(F.col("organizationcity"))).alias("city")).count()
     words = F.filter(F.split(F.regexp_replace(_fold(F.col("name")), r"[^\p{L}\p{N}]+", " "), " "), lambda w: (w != "") & ~w.isin(EMPTY_WORDS))
@@ -114,8 +114,10 @@ def organisation_spellings(awards: DataFrame) -> DataFrame:
     rows = rows.withColumn("last", F.array_join(F.transform(F.filter("m", lambda w: w.startswith("=")), lambda w: F.regexp_replace(w, "^=", "")), ""))
     city = F.max_by(F.regexp_replace("city", "[^a-z0-9]", ""), F.struct("count", "city"))
     town = rows.where("city <> ''").groupBy("id").agg(city.alias("town"))
-    rows = rows.join(town, "id", "left").withColumn("anchor", F.when(F.col("town") != "", F.concat_ws("|", "town", "first")))
-    return rows.select("id", "last", "first", F.lit(True).alias("full"), F.lit(None).cast("string").alias("mid"), "anchor").distinct()
+    rows = rows.join(town, "id", "left").withColumn("town", F.when(F.col("town") != "", F.col("town")))
+    own = F.when(F.col("last") == "", F.coalesce("town", F.lit(""))).otherwise(F.col("last"))
+    kind, none = F.when(F.col("first") == "", "-").otherwise(F.col("first")), F.lit(None).cast("string")
+    return rows.select("id", own.alias("last"), kind.alias("first"), F.lit(True).alias("full"), none.alias("mid"), none.alias("anchor"), "town").distinct()
 
 
 def _keys(names: DataFrame, name: str, *parts: Column | str, many: Column) -> DataFrame:
@@ -124,7 +126,7 @@ def _keys(names: DataFrame, name: str, *parts: Column | str, many: Column) -> Da
 
 
 def _fits(pairs: DataFrame) -> DataFrame:
-    """Pairs of spellings p and a that may mean the same, with their cost: an error weighs 2, a shortened first part 1."""
+    """Pairs of spellings p and a that may mean the same, with their cost: an error weighs 2, a shortened first part 1; the same town is in their favour, and in different towns only equal names fit."""
     err_last, err_first = one_error("last_p", "last_a"), one_error("first_p", "first_a")
     last = F.when(F.col("last_p") == F.col("last_a"), 0).when(err_last, 2)
     short = ~(F.col("full_p") & F.col("full_a")) & (F.col("first_a").startswith(F.col("first_p")) | F.col("first_p").startswith(F.col("first_a")))
@@ -132,15 +134,17 @@ def _fits(pairs: DataFrame) -> DataFrame:
     mids = F.coalesce(F.col("mid_p") != F.col("mid_a"), F.lit(False))
     pairs = pairs.withColumn("last_cost", last).withColumn("first_cost", first).where("last_cost is not null and first_cost is not null and last_cost + first_cost < 4").where(~mids)
     both = F.coalesce(F.col("mid_p") == F.col("mid_a"), F.lit(False)).cast("int")
-    return pairs.select("ent_p", "ent_a", (2 * (F.col("last_cost") + F.col("first_cost")) - both).alias("cost"))
+    cost = F.col("last_cost") + F.col("first_cost")
+    pairs = pairs.withColumn("near", F.coalesce((F.col("town_p") == F.col("town_a")).cast("int"), F.lit(0))).where((cost == 0) | F.coalesce(F.col("town_p") == F.col("town_a"), F.lit(True)))
+    return pairs.select("ent_p", "ent_a", (2 * cost - both - F.col("near")).alias("cost"), "near")
 
 
 def candidates(names: DataFrame) -> DataFrame:
-    """``(ent_p, ent_a, cost)`` of profiles whose spellings fit; ent_p has no anchor.
+    """``(ent_p, ent_a, cost, near)`` of profiles whose spellings fit; ent_p has no anchor.
 
     Blocks are made so that no pair arises only from a common last name: the whole first part or the initial of a shortened one is always part of the key.
     """
-    names = cut_lineage(names.withColumn("no", F.xxhash64("ent", "last", "first", "mid")))
+    names = cut_lineage(names.withColumn("no", F.xxhash64("ent", "last", "first", "mid", "town")))
     poor, initial = names.where("not anchored"), F.substring("first", 1, 1)
     joins = [
         (_keys(poor.where("full"), "p", "first", many=_errors("last")), _keys(names.where("full"), "a", "first", many=_errors("last"))),
@@ -150,10 +154,10 @@ def candidates(names: DataFrame) -> DataFrame:
     ]
     # only numbers are exploded and joined; the spellings come back for the distinct pairs
     pairs = reduce(DataFrame.unionAll, [p.join(a, "key").where("p <> a").select("p", "a") for p, a in joins]).distinct()
-    cols = ["ent", "last", "first", "full", "mid"]
+    cols = ["ent", "last", "first", "full", "mid", "town"]
     pairs = pairs.join(names.select(F.col("no").alias("p"), *[F.col(c).alias(f"{c}_p") for c in cols]), "p")
     pairs = pairs.join(names.select(F.col("no").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols]), "a")
-    return _fits(pairs.where("ent_p <> ent_a")).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"))
+    return _fits(pairs.where("ent_p <> ent_a")).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near"))
 
 
 def _errors(col: str) -> Column:
@@ -163,14 +167,16 @@ def _errors(col: str) -> Column:
 def resolve(spellings: DataFrame, max_rounds: int = 12) -> DataFrame:
     """``(id, entity)`` for every id of ``spellings``; ids of one entity have the same value.
 
-    A profile with several equally good partners is left alone in that round: it may be decided when they have merged. Ids without anything to go by are left out.
+    A profile with several equally good partners is left alone in that round: it may be decided when they have merged. Organisations in its own town that fit equally well by name are spellings of one: it takes the richest. Ids without anything to go by are left out.
     """
+    if "town" not in spellings.columns:
+        spellings = spellings.withColumn("town", F.lit(None).cast("string"))
     spellings = cut_lineage(spellings)
     free = spellings.where("anchor is null").groupBy("last", "first").agg(F.count_distinct("mid").alias("n_mid"))
     marked = spellings.join(free, ["last", "first"], "left")
     name = F.concat_ws("|", F.lit("name"), "last", "first", F.when(F.col("n_mid") > 1, F.coalesce("mid", F.lit("?"))))
     marked = cut_lineage(marked.withColumn("ent", F.coalesce(F.concat(F.lit("@|"), "anchor"), name)))
-    names = marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", F.col("anchor").isNotNull().alias("anchored")).distinct()
+    names = marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", F.col("anchor").isNotNull().alias("anchored")).distinct()
     links = cut_lineage(candidates(names))
     # richer: with anchor, then with a whole first part, then more spellings
     rich = marked.groupBy("ent").agg(F.max(F.struct(F.col("anchor").isNotNull().alias("anchored"), "full")).alias("best"), F.count("*").alias("n"))
@@ -179,12 +185,12 @@ def resolve(spellings: DataFrame, max_rounds: int = 12) -> DataFrame:
         left = label.where("not anchored").select(F.col("ent").alias("ent_p"), F.col("now").alias("p"), F.col("rank").alias("rank_p"))
         right = label.select(F.col("ent").alias("ent_a"), F.col("now").alias("a"), F.col("anchored").alias("sure"), F.col("rank").alias("rank_a"))
         # only richer profiles: the poorer ones may come to this one
-        open_ = links.join(left, "ent_p").join(right, "ent_a").where("p <> a and rank_a > rank_p").groupBy("p", "a").agg(F.min("cost").alias("cost"), F.max("sure").alias("sure"))
-        # of the fitting profiles the cheapest, those with an anchor first; undecided if there are several
+        open_ = links.join(left, "ent_p").join(right, "ent_a").where("p <> a and rank_a > rank_p").groupBy("p", "a").agg(F.min("cost").alias("cost"), F.max("sure").alias("sure"), F.max("near").alias("near"), F.max("rank_a").alias("rank_a"))
+        # of the fitting profiles the cheapest, those with an anchor first; undecided if there are several, unless all are of one kind in one town
         order = F.struct("cost", (~F.col("sure")).alias("unsure"))
         best = Window.partitionBy("p")
         ranked = open_.withColumn("order", order).withColumn("least", F.min("order").over(best)).where("order = least")
-        moves = cut_lineage(ranked.groupBy("p").agg(F.count("*").alias("k"), F.min("a").alias("a")).where("k = 1").select("p", "a"))
+        moves = cut_lineage(ranked.groupBy("p").agg(F.count("*").alias("k"), F.min("near").alias("near"), F.max_by("a", "rank_a").alias("a")).where("k = 1 or near = 1").select("p", "a"))
         if moves.isEmpty():
             break
         for _ in range(3):  # a partner may have moved on itself

@@ -263,6 +263,18 @@ def test_spellings_of_organisations(spark):
     assert sorted(sorted(x) for x in found.values()) == [["a", "b", "c"], ["d", "e"], ["f", "g"], ["j"]]
 
 
+def test_organisations_are_matched_by_name_and_city_is_evidence(spark):
+    rows = [
+        ("a", "University of Chicago", "Chicago"), ("b", "Loyola University Chicago", "Chicago"), ("c", "Univ. of Chicgo", "Chicago"), ("d", "Elmbury College", "Elmbury"), ("e", "ELMBURY COLL", "Oakford"), ("f", "Tarnwick Kombinat", "Tarnwick"), ("g", "Tarnwick, Kombinat", "Elmbury"),
+        ("h", "Hanbridge College", "Hanbridge"), ("i", "Handbridge College", "Handbridge"), ("j", "Community College", "Oakford"), ("k", "Oakford Community College", None), ("l", "Tarnwick Kombinaat", "Tarnwick"),
+    ]
+    df = spark.createDataFrame(rows, "institution_id string, organization_clean string, organizationcity string")
+    found = {}
+    for r in entities.resolve(entities.organisation_spellings(df)).collect():
+        found.setdefault(r["entity"], set()).add(r["id"])
+    assert sorted(sorted(x) for x in found.values()) == [["a", "c"], ["b"], ["d", "e"], ["f", "g", "l"], ["h"], ["i"], ["j", "k"]]
+
+
 def test_names_of_empty_tables(spark):
     assert entities.resolve(entities.person_spellings(spark.createDataFrame([], "person_id string, pi_name string, pi_email string"))).count() == 0
 
