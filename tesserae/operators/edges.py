@@ -11,7 +11,8 @@ from tesserae.functions.lexicons import ENTITY_WEIGHTS
 from tesserae.functions.numeric import minmax
 from tesserae.functions.people import person_parts
 from tesserae.functions.text import clean_name, codes, first_email, names_once, person_id, stable_id
-from tesserae.operators.order import dense_index
+from tesserae.operators.order import dense_index, global_row_number
+from tesserae.session import cut_lineage
 
 
 def people(df: DataFrame, key: str, cell: str, strict_and: bool = True) -> DataFrame:
@@ -85,15 +86,21 @@ def entity_table(awards: DataFrame, key: str, columns: dict[str, Column]) -> Dat
     return reduce(DataFrame.unionByName, [items(k, e) for k, e in columns.items()]).where("trim(entity) <> ''").distinct()
 
 
-def project(entities: DataFrame, key: str, weights: dict[str, float] = ENTITY_WEIGHTS, cap: int | None = 250, max_pairs: int = 5000, seed: int = 42) -> DataFrame:
+def project(entities: DataFrame, key: str, weights: dict[str, float] = ENTITY_WEIGHTS, cap: int | None = 250, max_pairs: int = 5000, seed: int = 42, spread: bool = False) -> DataFrame:
     """``(a, b, weight, n_shared)``, a < b: awards that share entities, weights added up.
 
     A group of more than ``cap`` awards is a sample by definition of the operator: its first members by hash, as many as make ``max_pairs`` pairs at most.
-    No larger clique is ever formed; ``cap=None`` pairs everything.
+    No larger clique is ever formed; ``cap=None`` pairs everything. With ``spread`` such a group has ``max_pairs`` hashed pairs of all its members instead, or all pairs if there are no more.
     """
     weighted = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     rows = entities.where(F.col("kind").isin(list(weights))).select(key, "kind", "entity").distinct()
-    if cap is not None:
+    drawn = None
+    if cap is not None and spread:
+        sized = rows.join(rows.groupBy("kind", "entity").agg(F.count("*").alias("_n")), ["kind", "entity"])
+        large = (F.col("_n") > cap) & (F.col("_n") * (F.col("_n") - 1) / 2 > max_pairs)
+        drawn = drawn_pairs(sized.where(large).drop("_n"), key, max_pairs, seed)
+        rows = sized.where(~large).drop("_n")
+    elif cap is not None:
         sizes = rows.groupBy("kind", "entity").agg(F.count("*").alias("_n"))
         keep = int((2 * max_pairs) ** 0.5)  # members that make max_pairs pairs
         hashed = rows.join(sizes, ["kind", "entity"]).withColumn("_h", F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.col("kind"), F.col("entity"), F.lit(str(seed)))))
@@ -103,10 +110,32 @@ def project(entities: DataFrame, key: str, weights: dict[str, float] = ENTITY_WE
         first = large.where(bound).withColumn("_r", F.row_number().over(Window.partitionBy("kind", "entity").orderBy("_h", key))).where(F.col("_r") <= keep)
         rows = hashed.where(F.col("_n") <= cap).select(key, "kind", "entity").unionByName(first.select(key, "kind", "entity"))
     a, b = (rows.select("kind", "entity", F.col(key).alias(n)) for n in "ab")
-    pairs = a.join(b, ["kind", "entity"]).where("a < b")
+    pairs = a.join(b, ["kind", "entity"]).where("a < b").select("kind", "a", "b")
+    pairs = pairs if drawn is None else pairs.unionByName(drawn)
     return pairs.groupBy("a", "b").agg(F.sum(weighted[F.col("kind")]).alias("weight"), F.count("*").alias("n_shared"))
 
 
+def drawn_pairs(rows: DataFrame, key: str, n_pairs: int, seed: int) -> DataFrame:
+    """``(kind, a, b)``, a < b: of each group ``(kind, entity)`` of distinct members ``key``, which must have more than ``n_pairs`` pairs, so many different ones, drawn by hash among all."""
+    group = ["kind", "entity"]
+    # numbered over all groups, then from 0 per group: no task holds a whole group
+    placed = cut_lineage(global_row_number(rows.select(*group, key), [*group, key], "_at"))
+    spans = placed.groupBy(*group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    members = placed.join(spans, group).select(*group, (F.col("_at") - F.col("_first")).alias("_i"), F.col(key).alias("_m"))
+    number = lambda salt, below: F.pmod(F.xxhash64(F.lit(f"{seed}{salt}"), *group, "_k"), below)
+    many = F.col("_n") * (F.col("_n") - 1) / 2 > 4 * n_pairs
+    # of a group with many pairs twice as many draws as wanted, of which most differ
+    draws = spans.where(many).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(2 * n_pairs + 20)))).withColumn("_i", number("i", F.col("_n"))).withColumn("_j", number("j", F.col("_n") - 1))
+    draws = draws.withColumn("_j", F.col("_j") + (F.col("_j") >= F.col("_i")).cast("int")).select(*group, F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"), "_k")
+    # of the others, which have few, all pairs in hashed order
+    every = spans.where(~many).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 2))).withColumn("_j", F.explode(F.sequence(F.col("_i") + 1, F.col("_n") - 1)))
+    every = every.select(*group, "_i", "_j", F.xxhash64(F.lit(seed), *group, "_i", "_j").alias("_k"))
+    first = draws.unionByName(every).groupBy(*group, "_i", "_j").agg(F.min("_k").alias("_k"))
+    kept = first.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_k", "_i", "_j"))).where(F.col("_r") <= n_pairs)
+    pairs = kept.join(members.withColumnRenamed("_m", "a"), [*group, "_i"]).join(members.select(*group, F.col("_i").alias("_j"), F.col("_m").alias("b")), [*group, "_j"])
+    return pairs.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def bipartite(entities: DataFrame, key: str) -> DataFrame:
     """``(src_type, src, dst_type, dst)``: award-entity links in both directions, each once."""
     there = entities.select(F.lit("award").alias("src_type"), F.col(key).cast("string").alias("src"), F.col("kind").alias("dst_type"), F.col("entity").alias("dst"))

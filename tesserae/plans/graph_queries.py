@@ -190,7 +190,8 @@ def walks_metapath(t):
 
 @query()
 def walks_node2vec(t):
-    return walks.node2vec_walks(edges.project(_entities(t), "award", {"person": 3.0, "program": 1.0}), length=5, q=2.0)
+    pairs = edges.project(_entities(t), "award", {"person": 3.0, "program": 1.0}, spread=True)
+    return walks.node2vec_walks(pairs, length=5, q=2.0, nodes=_facts(t).select("award"))
 
 
 @query()

@@ -240,6 +240,23 @@ def test_projection_without_cap_equals_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_projection_spreads_pairs_over_all_members_of_a_large_group(spark):
+    rows = [(f"a{i:03d}", "program", "hot") for i in range(300)] + [("a001", "person", "p"), ("z", "person", "p"), ("alone", "person", "own")] + [(f"m{i:02d}", "program", "middle") for i in range(12)]
+    df = spark.createDataFrame(rows, "award string, kind string, entity string")
+    for cap, n_pairs, middle in ((250, 2000, 66), (10, 40, 40)):
+        got = edges.project(df, "award", cap=cap, max_pairs=n_pairs, spread=True)
+        pairs = {(r["a"], r["b"]): r["weight"] for r in got.collect()}
+        assert pairs == {(r["a"], r["b"]): r["weight"] for r in edges.project(df.repartition(5), "award", cap=cap, max_pairs=n_pairs, spread=True).collect()}
+        hot = {k for k in pairs if k[0] < "b" and k[1] < "b"}
+        assert len(hot) == n_pairs and all(a < b for a, b in pairs)
+        assert len({k for k in pairs if k[0] >= "m" and k[1] < "n"}) == middle
+        assert pairs["a001", "z"] == 3.0 and len(pairs) == n_pairs + middle + 1
+        if n_pairs == 2000:
+            assert len({x for k in hot for x in k}) == 300
+            paths = walks.node2vec_walks(got, length=3, n_walks=2, nodes=df.select("award")).collect()
+            assert len(paths) == 2 * 314 and all(len(r["path"]) == (1 if r["path"][0] == "alone" else 3) for r in paths)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "v1").mkdir()
     body = '﻿A,B\n1,"x\ny"\n2,\n'
