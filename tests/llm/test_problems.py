@@ -226,6 +226,15 @@ def test_overlap_of_hot_group_of_scattered_edits(spark):
     assert got == want
 
 
+def test_overlap_without_common_runs(spark):
+    words = text(120, 9100).split()
+    every_fourth = " ".join(f"own{k}" if k % 4 == 3 else w for k, w in enumerate(words))
+    rows = [("a1", " ".join(words), "train"), ("a2", every_fourth, "test"), ("b1", "one two three four five six seven", "train"), ("b2", "one two three other five six seven", "test"), ("c1", "red green blue", "train"), ("c2", "red green blue grey", "test"), ("d1", "red green", "validation")]
+    df = spark.createDataFrame(rows, "benchmark_id string, abstract_clean string, split string")
+    got = {tuple(x) for x in overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").collect()}
+    assert got == brute_pairs(rows) == {("a1", "a2"), ("b1", "b2"), ("c1", "c2"), ("c1", "d1")}
+
+
 def test_overlap_of_empty_table(spark):
     df = spark.createDataFrame([], "benchmark_id string, abstract_clean string, split string")
     assert overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").count() == 0
