@@ -164,10 +164,11 @@ def _errors(col: str) -> Column:
     return F.when(F.length(col) >= TYPO_LENGTH - 1, deletions(col)).otherwise(F.array(F.col(col)))
 
 
-def resolve(spellings: DataFrame, max_rounds: int = 12) -> DataFrame:
+def resolve(spellings: DataFrame) -> DataFrame:
     """``(id, entity)`` for every id of ``spellings``; ids of one entity have the same value.
 
-    A profile with several equally good partners is left alone in that round: it may be decided when they have merged. Organisations in its own town that fit equally well by name are spellings of one: it takes the richest. Ids without anything to go by are left out.
+    A profile with several equally good partners is left alone in that round: it may be decided when they have merged. Organisations in its own town that fit equally well by name are spellings of one: it takes the richest.
+    Profiles whose middle initials differ never merge; two that would meet in a third one without initials both stay. Every round merges at least two profiles, so the rounds end. Ids without anything to go by are left out.
     """
     if "town" not in spellings.columns:
         spellings = spellings.withColumn("town", F.lit(None).cast("string"))
@@ -179,25 +180,31 @@ def resolve(spellings: DataFrame, max_rounds: int = 12) -> DataFrame:
     names = marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", F.col("anchor").isNotNull().alias("anchored")).distinct()
     links = cut_lineage(candidates(names))
     # richer: with anchor, then with a whole first part, then more spellings
-    rich = marked.groupBy("ent").agg(F.max(F.struct(F.col("anchor").isNotNull().alias("anchored"), "full")).alias("best"), F.count("*").alias("n"))
-    label = cut_lineage(rich.select("ent", F.col("ent").alias("now"), F.col("best.anchored"), F.struct(F.col("best.anchored"), F.col("best.full"), "n", "ent").alias("rank")))
-    for _ in range(max_rounds):
-        left = label.where("not anchored").select(F.col("ent").alias("ent_p"), F.col("now").alias("p"), F.col("rank").alias("rank_p"))
-        right = label.select(F.col("ent").alias("ent_a"), F.col("now").alias("a"), F.col("anchored").alias("sure"), F.col("rank").alias("rank_a"))
+    rich = marked.groupBy("ent").agg(F.max(F.struct(F.col("anchor").isNotNull().alias("anchored"), "full")).alias("best"), F.count("*").alias("n"), F.collect_set("mid").alias("mids"))
+    label = cut_lineage(rich.select("ent", F.col("ent").alias("now"), F.col("best.anchored"), F.struct(F.col("best.anchored"), F.col("best.full"), "n", "ent").alias("rank"), "mids"))
+    while True:
+        left = label.where("not anchored").select(F.col("ent").alias("ent_p"), F.col("now").alias("p"), F.col("rank").alias("rank_p"), F.col("mids").alias("mids_p"))
+        right = label.select(F.col("ent").alias("ent_a"), F.col("now").alias("a"), F.col("anchored").alias("sure"), F.col("rank").alias("rank_a"), F.col("mids").alias("mids_a"))
         # only richer profiles: the poorer ones may come to this one
-        open_ = links.join(left, "ent_p").join(right, "ent_a").where("p <> a and rank_a > rank_p").groupBy("p", "a").agg(F.min("cost").alias("cost"), F.max("sure").alias("sure"), F.max("near").alias("near"), F.max("rank_a").alias("rank_a"))
+        open_ = links.join(left, "ent_p").join(right, "ent_a").where("p <> a and rank_a > rank_p and (size(mids_p) = 0 or size(mids_a) = 0 or arrays_overlap(mids_p, mids_a))").groupBy("p", "a").agg(F.min("cost").alias("cost"), F.max("sure").alias("sure"), F.max("near").alias("near"), F.max("rank_a").alias("rank_a"), F.first("mids_p").alias("mids_p"), F.first("mids_a").alias("mids_a"))
         # of the fitting profiles the cheapest, those with an anchor first; undecided if there are several, unless all are of one kind in one town
         order = F.struct("cost", (~F.col("sure")).alias("unsure"))
         best = Window.partitionBy("p")
         ranked = open_.withColumn("order", order).withColumn("least", F.min("order").over(best)).where("order = least")
-        moves = cut_lineage(ranked.groupBy("p").agg(F.count("*").alias("k"), F.min("near").alias("near"), F.max_by("a", "rank_a").alias("a")).where("k = 1 or near = 1").select("p", "a"))
+        moves = cut_lineage(ranked.groupBy("p").agg(F.count("*").alias("k"), F.min("near").alias("near"), F.max_by(F.struct("a", "mids_a"), "rank_a").alias("to"), F.first("mids_p").alias("mids_p")).where("k = 1 or near = 1").select("p", "to.*", "mids_p"))
+        # of partners that would bring different initials to one without any, none moves
+        split = moves.where("size(mids_a) = 0").select("a", F.explode("mids_p").alias("mid")).groupBy("a").agg(F.count_distinct("mid").alias("n_mid")).where("n_mid > 1").select("a")
+        moves = moves.where("size(mids_p) = 0").unionByName(moves.where("size(mids_p) > 0").join(split, "a", "left_anti"))
+        # one with initials waits for a partner that moves on itself
+        gone = moves.select(F.col("p").alias("a"))
+        moves = cut_lineage(moves.where("size(mids_p) = 0").unionByName(moves.where("size(mids_p) > 0").join(gone, "a", "left_anti")).select("p", "a"))
         if moves.isEmpty():
             break
         for _ in range(3):  # a partner may have moved on itself
             step = label.join(moves, label["now"] == moves["p"], "left")
-            label = step.select("ent", F.coalesce("a", "now").alias("now"), "anchored", "rank")
-        top = label.groupBy("now").agg(F.max("anchored").alias("anchored"), F.max("rank").alias("rank"))
-        label = cut_lineage(label.select("ent", "now").join(top, "now").select("ent", "now", "anchored", "rank"))
+            label = step.select("ent", F.coalesce("a", "now").alias("now"), "anchored", "rank", "mids")
+        top = label.groupBy("now").agg(F.max("anchored").alias("anchored"), F.max("rank").alias("rank"), F.array_distinct(F.flatten(F.collect_set("mids"))).alias("mids"))
+        label = cut_lineage(label.select("ent", "now").join(top, "now").select("ent", "now", "anchored", "rank", "mids"))
     return marked.select("id", "ent").join(label.select("ent", "now"), "ent").groupBy("id").agg(F.min("now").alias("entity"))
 
 

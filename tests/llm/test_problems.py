@@ -263,6 +263,12 @@ def test_spellings_of_people(spark):
     assert ["10"] in got and ["11"] in got and ["12"] in got and ["9"] in got  # namesakes with different hosts stay apart; J. could be either
 
 
+def test_initials_of_merged_profiles_are_united(spark):
+    rows = [("1", "John A. Smithson", None), ("2", "John B. Smithson", None), ("3", "John Smithson", None), ("4", "JOHN SMITHSON", " "), ("8", "Dr John Smithson", None), ("5", "Mary C. Oldfield", None), ("6", "Mary Oldfield", None), ("7", "Mary Oldfeild", None)]
+    got = people(spark, rows)
+    assert not any({"1", "2"} <= set(x) for x in got) and ["5", "6", "7"] in got
+
+
 def test_spellings_of_organisations(spark):
     rows = [("a", "University of Oakford", "Oakford"), ("b", "Oakford, Univ. of", "Oakford"), ("c", "UNIVERSTY OF OAKFORD", None), ("d", "Oakford State University", "Oakford"), ("e", "St. U., Oakford", None), ("f", "Oakfrod Community College Inc", "Oakford"), ("g", "Oakford CC", "Oakford"), ("h", None, "Oakford"), ("i", " ", None), ("j", "University of Elmbury", "Elmbury")]
     df = spark.createDataFrame(rows, "institution_id string, organization_clean string, organizationcity string")
