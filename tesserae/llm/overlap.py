@@ -1,14 +1,14 @@
-"""Problem 4: same or near-same texts across splits, by winnowing fingerprints and an exact filter on words.
+"""Problem 4: same or near-same texts across splits, by winnowing fingerprints.
 
-Texts that are equal but for formatting form a class. Rolling hashes of ``K`` words are winnowed: every run of ``K + WINDOW - 1`` words
-that two texts share yields a common fingerprint. Fingerprints that occur in training and evaluation classes are seeds; the seeds of a pair are chained
+Texts that are equal but for formatting form a class. Hashes of ``K`` words are winnowed: of every ``WINDOW`` neighbours the one that joins the fewest classes is kept
+(ties by hash), the same one in all texts that share the run. The fingerprints of training and evaluation classes are joined; the seeds of a pair are chained
 collinearly and the gaps between them aligned. A pair is near if more than ``SHARE`` of the words of the longer text are aligned.
 
-A fingerprint that would pair more than ``PAIRS`` classes (boilerplate, hot groups of copies) is no seed. No pair depends on it: which pairs are
-aligned is decided by words. Of two texts with more than ``SHARE`` of the longer in common, the rarest words share one (prefix filtering; the k-th time a word
-stands in a text counts as a word of its own), so the classes are joined by their rarest words. The classes of a frequent word are dealt to squares of ``SIDE`` x ``SIDE``,
-where an upper bound of the common words, by ``BITS`` hashed bits a class, decides before any row is made. Nothing is left out, whatever a group's size;
-the time of the squares grows with the square of the number of classes that have a frequent word among their rarest.
+No fingerprint is left out for its frequency and no pair for its group. What makes frequent ones cheap is which of them are asked for: more than ``SHARE`` of a training
+text's words must be aligned, so at least one of any ``n - floor(SHARE n)`` of them. The words whose fingerprints are the rarest are taken, and only fingerprints that touch
+these are looked up among all those of the evaluation texts. So every pair is met of which more than ``SHARE`` of the longer text's words are aligned in runs of
+``K + WINDOW - 1`` words or more, and of the others all that have one rare run in common; short texts are also joined by single words. Where classes meet, an upper bound of their common words, from ``BITS`` hashed
+bits a class, decides before a pair becomes a row. The classes of a fingerprint are dealt to squares of ``SIDE`` x ``SIDE``, so no task holds them all.
 """
 
 from __future__ import annotations
@@ -16,19 +16,19 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.skew import lookup
 from tesserae.session import cut_lineage
 
-#: Words of a rolling hash; hashes of a window, of which the least is kept.
-K, WINDOW = 4, 5
-#: Pairs of classes beyond which a fingerprint is no seed, and a word is compared by squares.
-PAIRS = 400
+#: Words of a rolling hash; neighbouring hashes of which one is kept. Longer ones are cheaper and ask for longer common runs.
+K, WINDOW = 2, 2
+#: Words up to which a text is joined by its single words too.
+SHORT = 12
 #: Classes of a side of a square; bits of a class for the bound of common words.
-SIDE, BITS = 2000, 1024
-#: Aligned share of the longer text above which a pair is near. True cases have more than 2/3, others less than 3/5.
+SIDE, BITS = 2000, 512
+#: Aligned share of the longer text above which a pair is near: between the 2/3 of the cases and the 3/5 of the others, as a word that formatting has cut in two counts as unlike.
 SHARE = 0.6333
 
 _ACCENTED = [chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] != chr(c)]
@@ -48,44 +48,84 @@ def split_name(col: str) -> Column:
 
 
 def text_classes(df: DataFrame, id_col: str, text_col: str, split_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members ``(id, split, cid)`` and classes ``(cid, w, n, t, e)``: hashed words, their number, in training, in evaluation."""
+    """Members ``(id, split, cid)`` and classes ``(cid, w, n, t, e)``: hashed words, their number, in training, in evaluation.
+
+    Classes are told apart by the MD5 of their words and numbered once; the numbers are read from the checkpoint from then on.
+    """
     rows = df.select(F.col(id_col).alias("id"), split_name(split_col).alias("split"), words(F.col(text_col)).alias("w")).where("id is not null and split is not null and size(w) > 0")
-    rows = cut_lineage(rows.select("id", "split", F.md5(F.array_join("w", " ")).alias("cid"), F.transform("w", lambda w: F.hash(w)).alias("w")))
+    rows = cut_lineage(rows.select("id", "split", F.md5(F.array_join("w", " ")).alias("key"), F.transform("w", lambda w: F.hash(w)).alias("w")))
     train = (F.col("split") == "train").cast("int")
-    classes = rows.groupBy("cid").agg(F.first("w").alias("w"), F.max(train).alias("t"), F.max(1 - train).alias("e"))
-    return rows.select("id", "split", "cid"), cut_lineage(classes.withColumn("n", F.size("w")))
-
-
-def fingerprints(classes: DataFrame) -> DataFrame:
-    """One row per winnowed fingerprint of each class, with its position."""
-    short = F.least(F.lit(K), F.col("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - short + 1, F.lit(1))), lambda i: F.struct(F.xxhash64(F.slice("w", i, short)).alias("h"), (-i).alias("at")))
-    least = F.transform(F.sequence(F.lit(1), F.greatest(F.size("g") - WINDOW + 1, F.lit(1))), lambda i: F.array_min(F.slice("g", i, WINDOW)))
-    kept = classes.select("cid", "n", "t", "e", grams.alias("g")).select("cid", "n", "t", "e", F.explode(F.array_distinct(least)).alias("f"))
-    return kept.select("cid", "n", "t", "e", (-F.col("f.at")).alias("pos"), F.col("f.h").alias("seed"))
-
-
-def _met(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` is in training and evaluation classes, with the numbers ``n_t`` and ``n_e`` of each."""
-    counts = rows.groupBy(key).agg(F.sum("t").alias("n_t"), F.sum("e").alias("n_e")).where("n_t > 0 and n_e > 0")
-    return lookup(rows, counts, key)
-
-
-def shared_seeds(classes: DataFrame) -> DataFrame:
-    """``(seed, cid, n, t, e, pos)``: the seeds that join training and evaluation classes and are not frequent."""
-    return _met(fingerprints(classes), "seed").where(F.col("n_t") * F.col("n_e") <= PAIRS).drop("n_t", "n_e")
-
-
-def rarest_words(classes: DataFrame) -> DataFrame:
-    """``(word, cid, n, t, e)``: of each class the rarest words, as many as hold one of any text that is near; the k-th time of a word is a word of its own."""
-    rows = classes.select("cid", "n", "t", "e", F.posexplode("w").alias("at", "w"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("cid", "w").orderBy("at")))
-    rows = cut_lineage(rows.select("cid", "n", "t", "e", F.xxhash64("w", "k").alias("word")))
-    counts = rows.groupBy("word").agg((F.sum("t") * F.sum("e")).alias("pairs"))
-    ordered = lookup(rows, counts, "word").groupBy("cid", "n", "t", "e").agg(F.array_sort(F.collect_list(F.struct("pairs", "word"))).alias("z"))
-    # near texts have at least floor(SHARE n) + 1 words in common, so one of the n - floor(SHARE n) rarest is common
-    first = F.slice("z", F.lit(1), F.col("n") - F.floor(F.lit(SHARE) * F.col("n")).cast("int"))
-    return ordered.select("cid", "n", "t", "e", F.explode(F.filter(first, lambda x: x["pairs"] > 0)).alias("z")).select("z.word", "cid", "n", "t", "e")
+    classes = rows.groupBy("key").agg(F.first("w").alias("w"), F.max(train).alias("t"), F.max(1 - train).alias("e"))
+    classes = cut_lineage(classes.withColumn("n", F.size("w")).withColumn("cid", F.monotonically_increasing_id()))
+    members = cut_lineage(lookup(rows.select("id", "split", "key"), classes.select("key", "cid"), "key").select("id", "split", "cid"))
+    return members, classes.drop("key")
+
+
+def _grams(classes: DataFrame, k: int) -> DataFrame:
+    """One row per class and place (from 0) of a hash of ``k`` words that training and evaluation classes share, with the number of pairs it joins."""
+    hashes = F.transform(F.sequence(F.lit(1), F.col("n") - (k - 1)), lambda i: F.xxhash64(F.slice("w", i, k)))
+    own = classes.where(F.col("n") >= k).select("cid", "n", "t", "e", hashes.alias("g"))
+    counts = own.select("t", "e", F.explode(F.array_distinct("g")).alias("gram")).groupBy("gram").agg((F.sum("t") * F.sum("e")).alias("pairs")).where("pairs > 0")
+    return lookup(own.select("cid", "n", "t", "e", F.posexplode("g").alias("pos", "gram")), counts, "gram")
+
+
+def _winnow(k: int, window: int, share: float):
+    """Of classes with their shared hashes in order, the fingerprints: all kept ones of evaluation classes, those of the rarest words of training classes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        reach = k + window - 1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cid, n, t, e = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            list_ = batch.column(4)
+            sizes = np.diff(list_.offsets.to_numpy())
+            flat = list_.flatten()
+            pos, pairs, gram = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            owner = np.repeat(np.arange(len(cid)), sizes)
+            # a window whose hashes are not all shared is in no common run
+            best, whole = np.arange(len(pos)), np.ones(len(pos), bool)
+            for d in range(1, window):
+                to = np.minimum(np.arange(len(pos)) + d, len(pos) - 1)
+                whole &= (owner[to] == owner) & (pos[to] == pos + d)
+                less = whole & ((pairs[to] < pairs[best]) | ((pairs[to] == pairs[best]) & (gram[to] < gram[best])))
+                best = np.where(less, to, best)
+            start = np.flatnonzero(whole)
+            best = best[start]
+            # words of all classes in a row; of each the greatest number of pairs of a fingerprint that touches it
+            base = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+            at = base[owner[start]] + pos[start]
+            cost = np.zeros(base[-1], np.int64)
+            for d in range(reach):
+                np.maximum.at(cost, at + d, pairs[best])
+            of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((cost, of))
+            rank = np.arange(base[-1]) - base[of]  # the classes keep their places in the order
+            asked = np.zeros(base[-1], bool)
+            asked[order[rank < (n - np.floor(share * n).astype(np.int64))[of]]] = True
+            touched = np.zeros(len(start), bool)
+            for d in range(reach):
+                touched |= asked[at + d]
+            for is_train, ok in ((True, touched & (t[owner[start]] == 1)), (False, e[owner[start]] == 1)):
+                c, s, p = owner[best[ok]], gram[best[ok]], pos[best[ok]]
+                _, first = np.unique(np.stack([c, s]), axis=1, return_index=True)  # each fingerprint of a class once, at its first place
+                c, s, p = c[first], s[first], p[first]
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(cid[c], pa.int64()), pa.array(n[c], pa.int32()), pa.array(p, pa.int32()), pa.array(np.full(len(c), is_train))], ["seed", "cid", "n", "pos", "is_train"])
+
+    return run
+
+
+def seeds(classes: DataFrame, k: int = K, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """``(seed, cid, n, pos, is_train)``: the fingerprints by which classes meet."""
+    grams = _grams(classes, k).groupBy("cid", "n", "t", "e").agg(F.array_sort(F.collect_list(F.struct("pos", "pairs", "gram"))).alias("g"))
+    kept = grams.mapInArrow(_winnow(k, window, share), "seed bigint, cid bigint, n int, pos int, is_train boolean")
+    short = classes.where(F.col("n") <= SHORT).select("cid", "n", "t", "e", F.posexplode("w").alias("pos", "w"))
+    short = short.groupBy(F.xxhash64(F.lit("word"), "w").alias("seed"), "cid", "n", "t", "e").agg(F.min("pos").alias("pos"))
+    short = short.withColumn("is_train", F.explode(F.filter(F.array(F.when(F.col("t") == 1, True), F.when(F.col("e") == 1, False)), lambda x: x.isNotNull())))
+    return cut_lineage(kept.unionByName(short.select("seed", "cid", "n", "pos", "is_train")))
 
 
 def _bits(batches: Iterator) -> Iterator:
@@ -94,56 +134,95 @@ def _bits(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        out = []
-        for w in batch.column(1).to_pylist():
-            row, times = np.zeros(BITS, np.uint8), {}
-            for x in w:
-                k = times[x] = times.get(x, 0) + 1
-                row[((x * 0x9E3779B97F4A7C15 + k * 0xBF58476D1CE4E5B9) >> 20) % BITS] = 1
-            out.append(np.packbits(row).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["cid", "bits"])
-
-
-def _square(group):
-    """The pairs of a square of training and evaluation classes that may have more than ``SHARE`` of their words in common."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    sides = []
-    for is_train in (True, False):
-        part = group.filter(pc.equal(group.column("is_train"), is_train))
-        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, BITS // 8)
-        bits, n = np.unpackbits(bits, axis=1).astype(np.float32), part.column("n").to_numpy().astype(np.int64)
+        if not batch.num_rows:
+            continue
+        w = batch.column(1)
+        sizes = np.diff(w.offsets.to_numpy())
+        owner, word = np.repeat(np.arange(batch.num_rows), sizes), w.flatten().to_numpy().astype(np.int64)
+        order = np.lexsort((word, owner))
+        o, x = owner[order], word[order]
+        fresh = np.concatenate([[True], (o[1:] != o[:-1]) | (x[1:] != x[:-1])])
+        first = np.flatnonzero(fresh)
+        time = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        with np.errstate(over="ignore"):
+            mixed = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + time.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        bits = np.zeros((batch.num_rows, BITS), np.uint8)
+        bits[o, (mixed >> np.uint64(40)) % np.uint64(BITS)] = 1
+        packed = np.packbits(bits, axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["cid", "bits"])
+
+
+def _meet(share: float, most: int = 1 << 19):
+    """The pairs of each square, of rows sorted by square, that may have more than ``share`` of their words in common; ``most`` bounds the pairs held at a time."""
+
+    def pairs(table):
+        import numpy as np
+        import pyarrow as pa
+
+        seed, i, j, train, cid, n, pos = (table.column(c).to_numpy() for c in range(7))
+        bits = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint64).reshape(len(seed), BITS // 64)
         # words beyond the set bits share a bit with another one and may all be common
-        sides.append((part.column("cid"), bits, n, n - bits.sum(axis=1).astype(np.int64)))
-    (a, x, nx, more_x), (b, y, ny, more_y) = sides
-    longer = np.maximum(nx[:, None], ny)
-    able = np.minimum(more_x[:, None], more_y) + x @ y.T > SHARE * longer
-    i, j = np.nonzero(able & (np.minimum(nx[:, None], ny) > SHARE * longer))
-    return pa.table({"a": pa.array(a.take(pa.array(i)).to_pylist(), pa.string()), "b": pa.array(b.take(pa.array(j)).to_pylist(), pa.string())})
-
-
-def able_pairs(classes: DataFrame) -> DataFrame:
-    """``(x, y)``, x < y: pairs of a training and an evaluation class among which are all that are near."""
-    met = cut_lineage(_met(rarest_words(classes), "word"))
-    rare = met.where(F.col("n_t") * F.col("n_e") <= PAIRS)
-    left = rare.where("t = 1").select("word", F.col("cid").alias("a"), F.col("n").alias("na"))
-    right = rare.where("e = 1").select("word", F.col("cid").alias("b"), F.col("n").alias("nb"))
-    few = left.join(right, "word").where(F.least("na", "nb") > SHARE * F.greatest("na", "nb")).select("a", "b")
-    bits = cut_lineage(classes.select("cid", "w").mapInArrow(_bits, "cid string, bits binary"))
-    often = lookup(met.where(F.col("n_t") * F.col("n_e") > PAIRS), bits, "cid")
-
-    def side(is_train: bool) -> DataFrame:
-        own, other = ("n_t", "n_e") if is_train else ("n_e", "n_t")
-        parts = lambda c: F.ceil(F.col(c) / F.lit(SIDE)).cast("int")
-        mine, theirs = F.pmod(F.xxhash64("cid"), parts(own)).cast("int"), F.explode(F.sequence(F.lit(0), parts(other) - 1))
-        rows = often.where("t = 1" if is_train else "e = 1").withColumn("mine", mine).withColumn("theirs", theirs)
-        i, j = ("mine", "theirs") if is_train else ("theirs", "mine")
-        return rows.select("word", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(is_train).alias("is_train"), "cid", "n", "bits")
-
-    many = side(True).unionAll(side(False)).groupBy("word", "i", "j").applyInArrow(_square, "a string, b string")
-    return few.unionAll(many).where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        more = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        group = np.cumsum(new) - 1
+        held = np.zeros((group[-1] + 1, 2), np.int64)
+        np.add.at(held, (group, train.astype(np.int64)), 1)
+        first = np.flatnonzero(new)  # evaluation rows stand before training rows
+        left = np.flatnonzero(train)
+        count = held[group[left], 0]
+        for part in np.split(left, np.searchsorted(np.cumsum(count), np.arange(most, count.sum(), most))):
+            c = held[group[part], 0]
+            a = np.repeat(part, c)
+            b = np.repeat(first[group[part]], c) + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
+            longer = np.maximum(n[a], n[b])
+            ok = (np.minimum(n[a], n[b]) > share * longer) & (cid[a] != cid[b])
+            a, b, longer = a[ok], b[ok], longer[ok]
+            common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+            ok = common + np.minimum(more[a], more[b]) > share * longer
+            a, b = a[ok], b[ok]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cid[a], cid[b], pos[a], pos[b])], ["a", "b", "p", "q"])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        kept: list = []
+
+        def ends(table):
+            """Rows before the last square, which may go on."""
+            seed, i, j = (table.column(c).to_numpy() for c in range(3))
+            same = (seed == seed[-1]) & (i == i[-1]) & (j == j[-1])
+            return int(np.argmax(same))
+
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(batch)
+            if sum(b.num_rows for b in kept) >= 20_000:
+                table = pa.Table.from_batches(kept).combine_chunks()
+                k = ends(table)
+                if k:
+                    yield from pairs(table.slice(0, k))
+                kept = table.slice(k).to_batches()
+        if kept:
+            yield from pairs(pa.Table.from_batches(kept).combine_chunks())
+
+    return run
+
+
+def met_pairs(classes: DataFrame, k: int = K, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """``(a, b, p, q)``: training class a and evaluation class b that have a fingerprint in common, at the places p and q, and may be near."""
+    rows = seeds(classes, k, window, share)
+    counts = rows.groupBy("seed").agg(F.count_if("is_train").alias("n_t"), F.count_if(~F.col("is_train")).alias("n_e")).where("n_t > 0 and n_e > 0")
+    rows = lookup(rows, counts, "seed")
+    parts = lambda c: F.ceil(F.col(c) / F.lit(SIDE)).cast("int")
+    own, other = F.when(F.col("is_train"), parts("n_t")).otherwise(parts("n_e")), F.when(F.col("is_train"), parts("n_e")).otherwise(parts("n_t"))
+    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("cid"), own).cast("int")).withColumn("_theirs", F.explode(F.sequence(F.lit(0), other - 1)))
+    bits = cut_lineage(classes.select("cid", "w").mapInArrow(_bits, "cid bigint, bits binary"))
+    i, j = F.when(F.col("is_train"), F.col("_mine")).otherwise(F.col("_theirs")), F.when(F.col("is_train"), F.col("_theirs")).otherwise(F.col("_mine"))
+    rows = lookup(rows, bits, "cid").select("seed", i.alias("i"), j.alias("j"), "is_train", "cid", "n", "pos", "bits")
+    rows = rows.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j", "is_train")
+    return rows.mapInArrow(_meet(share), "a bigint, b bigint, p int, q int")
 
 
 def _lcs(a: list[int], b: list[int]) -> int:
@@ -180,14 +259,14 @@ def _chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned_words(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> int:
-    """Words of ``a`` and ``b`` that stand in the same order: chained seeds (positions from 1) and the alignment of the gaps between them.
+def aligned_words(a: list[int], b: list[int], seeds: list[tuple[int, int]], share: float = SHARE) -> int:
+    """Words of ``a`` and ``b`` that stand in the same order: chained seeds (places from 0) and the alignment of the gaps between them.
 
     Where that leaves the pair below the threshold, the texts are aligned as wholes, so that a wrong seed costs nothing.
     """
     longest = max(len(a), len(b))
     x = y = total = 0
-    for p, q in _chain([(p - 1, q - 1) for p, q in seeds]):
+    for p, q in _chain(seeds):
         if p < x or q < y:
             continue
         total += _lcs(a[x:p], b[y:q])
@@ -195,41 +274,41 @@ def aligned_words(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> i
             p, q, total = p + 1, q + 1, total + 1
         x, y = p, q
     total += _lcs(a[x:], b[y:])
-    return total if total > SHARE * longest else _lcs(a, b)
+    return total if total > share * longest else _lcs(a, b)
 
 
-def _align(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _common(a: list[int], b: list[int]) -> int:
+    """The number of words of ``a`` that stand in ``b``, each as often as in both: no more can be aligned."""
+    from collections import Counter
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y, a, b, s = (batch.column(k).to_pylist() for k in range(5))
-        got = [aligned_words(p, q, [(z["p"], z["q"]) for z in seeds]) for p, q, seeds in zip(a, b, s)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(got, pa.int32()), pa.array([len(z) for z in s], pa.int32())], ["x", "y", "aligned", "n_seeds"])
-
-
-def near_classes(classes: DataFrame) -> DataFrame:
-    """``(x, y, aligned, n_seeds, longest)``: pairs x < y of near classes of which one has training and the other evaluation rows."""
-    seeds = cut_lineage(shared_seeds(classes))
-    left = seeds.where("t = 1").select("seed", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    right = seeds.where("e = 1").select("seed", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    met = left.join(right, "seed").where((F.col("x") != F.col("y")) & (F.least("nx", "ny") > SHARE * F.greatest("nx", "ny")))
-    one = F.col("x") < F.col("y")
-    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.struct(F.when(one, F.col("px")).otherwise(F.col("py")).alias("p"), F.when(one, F.col("py")).otherwise(F.col("px")).alias("q")).alias("s"))
-    chains = met.groupBy("x", "y").agg(F.collect_set("s").alias("s"))
-    pairs = able_pairs(classes).join(chains, ["x", "y"], "left").select("x", "y", F.coalesce("s", F.array().cast("array<struct<p:int,q:int>>")).alias("s"))
-    pairs = cut_lineage(pairs)
-    texts = classes.select("cid", "w", "n")
-    pairs = lookup(pairs, texts.select(F.col("cid").alias("x"), F.col("w").alias("wx"), F.col("n").alias("nx")), "x")
-    pairs = lookup(pairs, texts.select(F.col("cid").alias("y"), F.col("w").alias("wy"), F.col("n").alias("ny")), "y")
-    # no more words can be aligned than the distinct ones in common and the repetitions of one text
-    repeats = F.least(F.col("nx") - F.size(F.array_distinct("wx")), F.col("ny") - F.size(F.array_distinct("wy")))
-    able = F.size(F.array_intersect("wx", "wy")) + repeats > SHARE * F.greatest("nx", "ny")
-    done = pairs.where(able).select("x", "y", "wx", "wy", "s").mapInArrow(_align, "x string, y string, aligned int, n_seeds int")
-    sizes = texts.select("cid", "n")
-    done = done.join(sizes.select(F.col("cid").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("cid").alias("y"), F.col("n").alias("ny")), "y")
-    return cut_lineage(done.where(F.col("aligned") > SHARE * F.greatest("nx", "ny")).select("x", "y", "aligned", "n_seeds", "nx", "ny"))
+    return (Counter(a) & Counter(b)).total()
+
+
+def _align(share: float):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, a, b, s = (batch.column(k).to_pylist() for k in range(5))
+            got = [aligned_words(p, q, [(z["p"], z["q"]) for z in seeds], share) if _common(p, q) > share * max(len(p), len(q)) else 0 for p, q, seeds in zip(a, b, s)]
+            sizes = [pa.array([len(z) for z in v], pa.int32()) for v in (s, a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(got, pa.int32()), *sizes], ["x", "y", "aligned", "n_seeds", "nx", "ny"])
+
+    return run
+
+
+def near_classes(classes: DataFrame, share: float = SHARE, k: int = K, window: int = WINDOW) -> DataFrame:
+    """``(x, y, aligned, n_seeds, nx, ny)``: pairs x < y of near classes of which one has training and the other evaluation rows; nx and ny are their words."""
+    met, one = met_pairs(classes, k, window, share), F.col("a") < F.col("b")
+    place = F.struct(F.when(one, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(one, F.col("q")).otherwise(F.col("p")).alias("q"))
+    pairs = cut_lineage(met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.collect_set(place).alias("s")))
+    texts = classes.select("cid", "w")
+    pairs = lookup(pairs, texts.select(F.col("cid").alias("x"), F.col("w").alias("wx")), "x")
+    pairs = lookup(pairs, texts.select(F.col("cid").alias("y"), F.col("w").alias("wy")), "y")
+    done = pairs.select("x", "y", "wx", "wy", "s").mapInArrow(_align(share), "x bigint, y bigint, aligned int, n_seeds int, nx int, ny int")
+    return cut_lineage(done.where(F.col("aligned") > F.lit(share) * F.greatest("nx", "ny")))
 
 
 def _directed(classes: DataFrame, near: DataFrame) -> DataFrame:
@@ -240,26 +319,26 @@ def _directed(classes: DataFrame, near: DataFrame) -> DataFrame:
     return both.select(F.col("x").alias("train_cid"), F.col("y").alias("eval_cid"), (F.col("aligned") / F.col("ny")).alias("coverage")).unionAll(same)
 
 
-def overlapping_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFrame:
+def overlapping_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str, share: float = SHARE) -> DataFrame:
     """``(id_1, id_2)`` with id_1 < id_2: all pairs of a training and an evaluation row whose texts are the same or nearly so.
 
     Null or wordless texts and rows without a known split or id are in no pair; repeated rows give one pair.
     """
     members, classes = text_classes(df, id_col, text_col, split_col)
-    links = _directed(classes, near_classes(classes)).select("train_cid", "eval_cid")
+    links = _directed(classes, near_classes(classes, share)).select("train_cid", "eval_cid")
     train = members.where("split = 'train'").select(F.col("cid").alias("train_cid"), F.col("id").alias("a"))
     rest = members.where("split <> 'train'").select(F.col("cid").alias("eval_cid"), F.col("id").alias("b"))
     pairs = links.join(train, "train_cid").join(rest, "eval_cid").where("a <> b")
     return pairs.select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2")).distinct()
 
 
-def overlapping_rows(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFrame:
+def overlapping_rows(df: DataFrame, id_col: str, text_col: str, split_col: str, share: float = SHARE) -> DataFrame:
     """``(id_col, split, class_id, n_links, coverage, exact)`` for each evaluation row with an overlap in training.
 
     ``n_links`` counts the distinct training texts, ``coverage`` is the greatest share of the row's words that one of them holds in order.
     """
     members, classes = text_classes(df, id_col, text_col, split_col)
-    links = _directed(classes, near_classes(classes))
+    links = _directed(classes, near_classes(classes, share))
     of_class = links.groupBy(F.col("eval_cid").alias("cid")).agg(F.count("*").alias("n_links"), F.max("coverage").alias("coverage"), F.max(F.col("train_cid") == F.col("eval_cid")).alias("exact"))
     rows = lookup(members.where("split <> 'train'"), of_class, "cid")
     return rows.select(F.col("id").alias(id_col), "split", F.col("cid").alias("class_id"), "n_links", "coverage", "exact")

@@ -235,6 +235,26 @@ def test_overlap_without_common_runs(spark):
     assert got == brute_pairs(rows) == {("a1", "a2"), ("b1", "b2"), ("c1", "c2"), ("c1", "d1")}
 
 
+def test_overlap_of_many_short_runs_and_boilerplate(spark):
+    """30 + 30 texts of eight common runs of ten words with three own words after each, and boilerplate in 600 texts."""
+    runs = [text(10, 8100 + k) for k in range(8)]
+    rows = [(f"r{i:03d}", " ".join(f"{run} own{i}a{k} own{i}b{k} own{i}c{k}" for k, run in enumerate(runs)), "train" if i < 30 else "test") for i in range(60)]
+    boiler = text(30, 8200)
+    rows += [(f"s{i:03d}", " ".join(f"w{i}x{k}" for k in range(60)) + " " + boiler, ["train", "test"][i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "benchmark_id string, abstract_clean string, split string")
+    got = {tuple(x) for x in overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").collect()}
+    assert got == {(f"r{i:03d}", f"r{j:03d}") for i in range(30) for j in range(30, 60)}
+
+
+def test_overlap_of_hot_copies_in_squares(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SIDE", 7)
+    base = text(80, 8300).split()
+    rows = [(f"q{i:03d}", edited(base, 12, i), "train" if i % 3 else "validation") for i in range(60)]
+    df = spark.createDataFrame(rows, "benchmark_id string, abstract_clean string, split string")
+    got = {tuple(x) for x in overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").collect()}
+    assert got == brute_pairs(rows) and len(got) == 40 * 20
+
+
 def test_overlap_of_empty_table(spark):
     df = spark.createDataFrame([], "benchmark_id string, abstract_clean string, split string")
     assert overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").count() == 0
