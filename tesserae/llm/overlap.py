@@ -277,24 +277,37 @@ def aligned_words(a: list[int], b: list[int], seeds: list[tuple[int, int]], shar
     return total if total > share * longest else _lcs(a, b)
 
 
-def _common(a: list[int], b: list[int]) -> int:
-    """The number of words of ``a`` that stand in ``b``, each as often as in both: no more can be aligned."""
-    from collections import Counter
+def _common(left, right):
+    """For each pair of word lists (Arrow lists) the number of words of one that stand in the other, each as often as in both: no more can be aligned."""
+    import numpy as np
 
-    return (Counter(a) & Counter(b)).total()
+    keys, counts = [], []
+    for side in (left, right):
+        owner = np.repeat(np.arange(len(side), dtype=np.uint64), np.diff(side.offsets.to_numpy()))
+        word = side.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+        k, c = np.unique(owner << np.uint64(32) | word, return_counts=True)
+        keys.append(k)
+        counts.append(c)
+    both, i, j = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+    out = np.zeros(len(left), np.int64)
+    np.add.at(out, (both >> np.uint64(32)).astype(np.int64), np.minimum(counts[0][i], counts[1][j]))
+    return out
 
 
 def _align(share: float):
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y, a, b, s = (batch.column(k).to_pylist() for k in range(5))
-            got = [aligned_words(p, q, [(z["p"], z["q"]) for z in seeds], share) if _common(p, q) > share * max(len(p), len(q)) else 0 for p, q, seeds in zip(a, b, s)]
-            sizes = [pa.array([len(z) for z in v], pa.int32()) for v in (s, a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(got, pa.int32()), *sizes], ["x", "y", "aligned", "n_seeds", "nx", "ny"])
+            sizes = [np.diff(batch.column(k).offsets.to_numpy()) for k in (2, 3)]
+            able = _common(batch.column(2), batch.column(3)) > share * np.maximum(*sizes)
+            x, y, a, b, s = (batch.column(k).filter(pa.array(able)).to_pylist() for k in range(5))
+            got = [aligned_words(p, q, [(z["p"], z["q"]) for z in seeds], share) for p, q, seeds in zip(a, b, s)]
+            numbers = [pa.array(v, pa.int32()) for v in (got, [len(z) for z in s], sizes[0][able], sizes[1][able])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), *numbers], ["x", "y", "aligned", "n_seeds", "nx", "ny"])
 
     return run
 
