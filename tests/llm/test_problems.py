@@ -387,6 +387,43 @@ def test_subjects_of_held_out_examples(spark):
     assert right > 0.5 * n and right > 0.85 * got.count()
 
 
+def test_subjects_do_not_depend_on_partitions(spark):
+    tables = {x: spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "subject_examples", "subject_areas")}
+    got = [subjects.assign_subjects(tables["documents"].repartition(n), tables["subject_examples"].repartition(n), tables["subject_areas"]) for n in (3, 17)]
+    rows = [sorted(map(tuple, x.collect())) for x in got]
+    assert rows[0] and rows[0] == rows[1]
+
+
+def test_subjects_with_a_larger_table_of_vectors(spark):
+    """Held-out examples, whole: the subject with the most sentences, with two sizes of the table."""
+    examples = spark.read.parquet("/root/testdata/sf0.01/subject_examples.parquet")
+    areas = spark.read.parquet("/root/testdata/sf0.01/subject_areas.parquet")
+    held = examples.where("example_id % 4 = 1 and lang = 'en'")
+    docs = held.select(F.col("example_id").cast("bigint").alias("doc_id"), "text")
+    for buckets in (subjects.BUCKETS // 4, subjects.BUCKETS):
+        out = subjects.assign_subjects(docs, examples.join(held, "example_id", "left_anti"), areas, buckets)
+        got = out.join(held.select(F.col("example_id").cast("bigint").alias("doc_id"), F.col("subject").alias("truth")), "doc_id")
+        assert got.where("subject = truth").count() > 0.8 * got.count()
+
+
+def test_what_sentences_of_documents_teach():
+    import numpy as np
+
+    scores = np.zeros((10, 3), "float32")
+    scores[[0, 1, 2, 3, 4], 0] = 1  # one document: five sentences of subject 0, two of subject 1, one of none
+    scores[[5, 6], 1] = 1
+    target, use = subjects.corpus_targets(scores, np.array([0] * 8 + [1] * 2), 2)
+    assert target[:8, 0].tolist() == [1] * 5 + [0, 0] + [1] and use.tolist() == [True] * 5 + [False] * 2 + [True] * 3
+    scores[6] = 0  # now one sentence of subject 1: a passing mention
+    target, use = subjects.corpus_targets(scores, np.array([0] * 8 + [1] * 2), 2)
+    assert target[5].tolist() == [0, 0, 0] and use.all()
+
+
+def test_sentences_of_long_markup_and_marks():
+    assert subjects.sentences("<a " + "x" * 5000 + ">One two.</a> Three") == [["one", "two"], ["three"]]
+    assert subjects.sentences("< " * 50_000 + "word") == [["word"]]
+
+
 def test_subjects_without_examples_or_documents(spark):
     areas = spark.createDataFrame([("a",), (None,)], "subject string")
     examples = spark.createDataFrame([], "example_id int, subject string, text string")
