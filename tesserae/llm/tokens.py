@@ -4,12 +4,12 @@ Each partition cuts its texts into words with the tokenizer's public pattern and
 once: a recursive DuckDB query holds one row per (word, token position), joins neighbouring tokens to the
 merge table and contracts the leftmost pair of least rank of every word, until no word has a pair left.
 Ordered aggregation then gives each word its ids, and the ids of a text are those of its words in turn. No row leaves its
-partition, so the operator needs no shuffle at all.
+partition, so the operator needs no shuffle at all. A long word (a run without a break may have any length) is contracted in pieces and mended at the seams, so that its time
+grows with its length: a sequence of tokens is the encoding of its bytes if every two neighbours are the encoding of theirs.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 from collections.abc import Iterator
@@ -22,10 +22,10 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept by a Python worker between batches; beyond it the memory is emptied, never the result.
 CACHE_WORDS = 200_000
-#: Words encoded by one recursive query.
-QUERY_WORDS = 8_192
-#: Characters from which a word (a run of letters, signs or white space without a break) is encoded by itself.
-LONG_WORD = 200
+#: Rows that one recursive query may hold at most, as the sum of the squares of its words' lengths.
+QUERY_ROWS = 1_500_000
+#: Bytes from which a word (a run of letters, signs or white space without a break) is contracted in pieces, and bytes of a piece.
+LONG_WORD, PIECE = 200, 64
 
 _ENCODERS: dict[str, BpeEncoder] = {}
 
@@ -61,32 +61,6 @@ class BpeEncoder:
         select s.word, list(s.tok order by s.pos) as ids from step s join last l on l.word = s.word and l.turn = s.turn group by s.word
     """
 
-    #: The same for long words: a turn contracts every place of the word's least pair, from the left and without
-    #: overlap. That is what the leftmost places do one after the other, since a new token makes no pair of lesser rank.
-    LONG_QUERY = """
-        with recursive step(word, turn, pos, tok) as (
-            select word, 0, pos, tok from start
-            union all
-            select word, turn + 1, pos, tok from (
-                with linked as (
-                    select word, turn, pos, tok, row_number() over line as n, lead(tok) over line as after, lag(pos) over line as prior
-                    from step window line as (partition by word order by pos)
-                ), ranked as (
-                    select l.*, m.rank, m.made, min(m.rank) over (partition by l.word) as least
-                    from linked l left join merges m on m.a = l.tok and m.b = l.after
-                ), hits as (
-                    select word, pos, made, n, n - row_number() over (partition by word order by n) as run from ranked where rank = least
-                ), picks as (
-                    select word, pos, made from (select *, row_number() over (partition by word, run order by n) as k from hits) where k % 2 = 1
-                )
-                select r.word, r.turn, r.pos, coalesce(p.made, r.tok) as tok
-                from ranked r left join picks p on p.word = r.word and p.pos = r.pos left join picks q on q.word = r.word and q.pos = r.prior
-                where r.least is not null and q.pos is null
-            )
-        ), last as (select word, max(turn) as turn from step group by word)
-        select s.word, list(s.tok order by s.pos) as ids from step s join last l on l.word = s.word and l.turn = s.turn group by s.word
-    """
-
     def __init__(self, name: str, folder: str) -> None:
         import duckdb
         import pandas as pd
@@ -100,31 +74,96 @@ class BpeEncoder:
             self.of_byte[byte] = vocab[symbol]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         merges = pd.DataFrame([(vocab[a], vocab[b], k, vocab[a + b]) for k, (a, b) in enumerate(pairs)], columns=["a", "b", "rank", "made"])
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("create table merges as select a::int as a, b::int as b, rank::bigint as rank, made::int as made from merges")
+        self.bytes_of = [b""] * (max(vocab.values()) + 1)
+        for token, number in vocab.items():
+            if all(c in symbols for c in token):
+                self.bytes_of[number] = bytes(symbols[c] for c in token)
         self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
+        self.pieces: dict[bytes, list[int]] = {}
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes ``words`` and keeps their ids: long ones alone, the rest many at a time."""
+    def contract(self, raw: list[bytes]) -> list[list[int]]:
+        """Ids of each byte sequence, by the recursive query over as many of them at a time as ``QUERY_ROWS`` allows."""
         import numpy as np
         import pandas as pd
 
-        of_byte = np.array(self.of_byte, dtype="int32")
-        short = [w for w in words if len(w) <= LONG_WORD]
-        parts = [(short[at : at + QUERY_WORDS], self.QUERY) for at in range(0, len(short), QUERY_WORDS)]
-        for part, query in [*parts, *(([w], self.LONG_QUERY) for w in words if len(w) > LONG_WORD)]:
-            raw = [w.encode("utf-8", "surrogatepass") for w in part]
-            sizes = np.array([len(b) for b in raw])
-            ends = np.cumsum(sizes)
-            tok = of_byte[np.frombuffer(b"".join(raw), dtype="uint8")]
-            pos = np.arange(len(tok)) - np.repeat(ends - sizes, sizes)
+        of_byte, out = np.array(self.of_byte, dtype="int32"), [[] for _ in raw]
+        order = sorted(range(len(raw)), key=lambda k: len(raw[k]))  # sequences of like length end after like many turns
+        at = 0
+        while at < len(order):
+            end, rows = at, 0
+            while end < len(order) and (end == at or rows + len(raw[order[end]]) ** 2 <= QUERY_ROWS):
+                rows += len(raw[order[end]]) ** 2
+                end += 1
+            part = [raw[k] for k in order[at:end]]
+            sizes = np.array([len(x) for x in part])
+            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            tok = of_byte[np.frombuffer(b"".join(part), dtype="uint8")]
             start = pd.DataFrame({"word": np.repeat(np.arange(len(part), dtype="int32"), sizes), "pos": pos.astype("int64"), "tok": tok})
             self.db.register("start", start)
-            got = self.db.execute(query).fetchnumpy()
+            got = self.db.execute(self.QUERY).fetchnumpy()
             self.db.unregister("start")
             for k, ids in zip(got["word"].tolist(), got["ids"]):
-                self.known[part[k]] = [int(i) for i in ids]
+                out[order[at + k]] = [int(i) for i in ids]
+            at = end
+        return out
+
+    def _piece_ids(self, raw: list[bytes]) -> list[list[int]]:
+        new = list({x for x in raw if x not in self.pieces})
+        if len(self.pieces) + len(new) > CACHE_WORDS:
+            self.pieces.clear()
+            new = list(set(raw))
+        for x, ids in zip(new, self.contract(new)):
+            self.pieces[x] = ids
+        return [self.pieces[x] for x in raw]
+
+    def _long(self, raw: bytes) -> list[int]:
+        """Ids of a long byte sequence: pieces are contracted, then every place where two neighbours aren't the encoding of their bytes is contracted again with more around it."""
+        parts = self._piece_ids([raw[k : k + PIECE] for k in range(0, len(raw), PIECE)])
+        ids = [i for part in parts for i in part]
+        joins, at = [], 0
+        for part in parts[:-1]:
+            at += len(part)
+            joins.append(at)
+        reach = 1
+        while joins:
+            pairs = [(ids[k - 1], ids[k]) for k in joins]
+            both = self._piece_ids([self.bytes_of[a] + self.bytes_of[b] for a, b in pairs])
+            wrong = [k for k, (a, b), ab in zip(joins, pairs, both) if ab != [a, b]]
+            if not wrong:
+                break
+            spans: list[list[int]] = []
+            for k in wrong:
+                low, high = max(0, k - reach), min(len(ids), k + reach)
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = high
+                else:
+                    spans.append([low, high])
+            fresh = self._piece_ids([b"".join(map(self.bytes_of.__getitem__, ids[low:high])) for low, high in spans])
+            out, joins, last = [], [], 0
+            for (low, high), new in zip(spans, fresh):
+                out += ids[last:low]
+                if low:
+                    joins.append(len(out))
+                out += new
+                if high < len(ids):
+                    joins.append(len(out))
+                last = high
+            ids = out + ids[last:]
+            reach *= 2
+        return ids
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes ``words`` and keeps their ids."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        short = [k for k, x in enumerate(raw) if len(x) <= LONG_WORD]
+        for k, ids in zip(short, self.contract([raw[k] for k in short])):
+            self.known[words[k]] = ids
+        for w, x in zip(words, raw):
+            if len(x) > LONG_WORD:
+                self.known[w] = self._long(x)
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         cut = [self.cut(t) if t else [] for t in texts]
@@ -132,7 +171,7 @@ class BpeEncoder:
             self.known.clear()
         new = list({w for words in cut for w in words if w not in self.known})
         if new:
-            self.learn(sorted(new, key=len))  # words of like length end after like many turns
+            self.learn(new)
         known, out = self.known, []
         for words in cut:
             ids: list[int] = []
@@ -141,6 +180,24 @@ class BpeEncoder:
             out.append(ids)
         return out
 
+    def decode(self, ids: list[list[int] | None]) -> list[str]:
+        """The texts of lists of ids: the bytes of the tokens, put together in their order by one ordered aggregation."""
+        import numpy as np
+        import pandas as pd
+
+        if not self.db.execute("select 1 from information_schema.tables where table_name = 'tokens'").fetchall():
+            tokens = pd.DataFrame({"tok": np.arange(len(self.bytes_of)), "shown": [x.hex() for x in self.bytes_of]})
+            self.db.execute("create table tokens as select tok::int as tok, shown from tokens")
+        sizes = np.array([len(x or []) for x in ids], dtype="int64")
+        flat = pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), sizes), "pos": np.arange(sizes.sum()), "tok": np.array([i for x in ids for i in x or []], dtype="int32")})
+        self.db.register("coded", flat)
+        got = self.db.execute("select doc, string_agg(shown, '' order by pos) from coded join tokens using (tok) group by doc").fetchall()
+        self.db.unregister("coded")
+        out = [""] * len(ids)
+        for doc, shown in got:
+            out[doc] = bytes.fromhex(shown).decode("utf-8", "surrogatepass")
+        return out
+
 
 def encoder(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> BpeEncoder:
     """The encoder of this Python worker, made once."""
@@ -184,7 +241,22 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def decode_ids(ids: list[int], tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
-    """The text of ``ids``; used to prove the round trip."""
-    with open(os.path.join(folder, f"{tokenizer}.tiktoken"), "rb") as f:
-        table = {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in f if line.strip())}
-    return b"".join(table[i] for i in ids).decode("utf-8", "surrogatepass")
+    """The text of ``ids``."""
+    return encoder(tokenizer, folder).decode([ids])[0]
+
+
+def decode_texts(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, rows: int = 500) -> DataFrame:
+    """``(id_col, text)``: the text of each list of ids; null and empty lists give an empty text. Ids that aren't UTF-8 together are an error."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own = encoder(tokenizer, folder)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.decode(part.column(1).to_pylist()), pa.string())], ["id", "text"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    out = df.select(id_col, ids_col).mapInArrow(run, f"id {kind}, text string")
+    return out.select(out["id"].alias(id_col), "text")
