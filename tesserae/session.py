@@ -14,6 +14,7 @@ def make_session(master: str = "local[*]", app: str = "tesserae", **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -27,10 +28,13 @@ def make_session(master: str = "local[*]", app: str = "tesserae", **conf: str) -
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only where that is unset (local tests)
-    a temporary folder is used.
+    The folder is the one named by ``spark.checkpoint.dir``. Only where that is unset and executors share this machine (local tests)
+    a temporary folder is used; on a cluster it is an error. Checkpoints that nothing refers to any more are removed if the session
+    was made with ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``make_session`` does.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not (context.master or "").startswith("local") and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
     return df.checkpoint(eager=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import numeric, people, signals, text
 from tesserae.operators import dedup, edges, experiments, history, joins, metrics, models, order, reports, sampling, splitting, walks
 from tesserae.operators.components import connected_components
-from tesserae.operators.skew import bucketed_running, hot_keys, lookup, permuted
+from tesserae.operators.skew import attach, bucketed_running, hot_keys, lookup, permuted
 from tesserae.plans import pipelines
 from tesserae.sources import io
 
@@ -101,6 +101,21 @@ def test_hot_keys_and_spread_lookup(spark):
     assert ranked.where("k = 'hot'").agg(F.min("r"), F.max("r"), F.count_distinct("r")).first()[:] == (1, 3000, 3000)
 
 
+def test_attach_and_lookup_spread_hot_and_null_keys(spark):
+    """One key with 1.5 % of the rows is no burden; null-heavy keys and keys of a third of the rows are dealt to many tasks."""
+    n = 60_000
+    key = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").when(F.col("id") % 67 == 0, "warm").otherwise(F.concat(F.lit("k"), F.col("id")))
+    df = spark.range(n).select("id", key.alias("k"), F.lit("x").alias("_part"), F.lit(1).alias("v_old"))
+    small = df.select("k").distinct().withColumn("v", F.coalesce("k", F.lit("nothing")))
+    out = attach(df.drop("_part"), small, ["k"]).withColumn("p", F.spark_partition_id())
+    assert out.count() == n and out.where("v <> coalesce(k, 'nothing') or v is null").count() == 0
+    assert out.where("k is null").select("p").distinct().count() > 1 and out.where("k = 'hot'").select("p").distinct().count() > 1
+    left = lookup(df.drop("_part"), small.where("k is not null"), "k", "left")
+    assert left.count() == n and left.where("k is null and v is not null").count() == 0 and left.where("k is not null and v is null").count() == 0
+    assert lookup(df.drop("_part"), small, "k").count() == 2 * n // 3
+    assert attach(df.limit(0), small, ["k"]).count() == 0 and lookup(df.limit(0), small, "k").count() == 0
+
+
 def test_numbering_does_not_depend_on_partitions(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"))
     got = [{r["v"]: r["n"] for r in order.global_row_number(df.repartition(p), ["v"], "n").collect()} for p in (1, 5)]
