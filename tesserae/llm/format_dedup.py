@@ -45,11 +45,11 @@ def canonical(col):
 MARKED = "etaoinsr1"
 
 
-def mark(canon: str) -> Column:
+def mark(canon: Column) -> Column:
     """A number that is the same for all ways to cut a text into parts, summed over the parts: weighted counts of characters."""
     total = F.length(canon).cast("bigint")
     for k, c in enumerate(MARKED):
-        total = total + (F.length(canon) - F.length(F.translate(canon, c, ""))).cast("bigint") * (1_000_003 * (k + 1) + 7919 * (k + 2) ** 3)
+        total = total + (F.length(canon) - F.length(F.replace(canon, F.lit(c), F.lit("")))).cast("bigint") * (1_000_003 * (k + 1) + 7919 * (k + 2) ** 3)
     return total
 
 
@@ -61,10 +61,11 @@ def value_dictionary(df: DataFrame, fields: list[str]) -> DataFrame:
     """
     raw = reduce(DataFrame.unionAll, [df.select(F.col(f).alias("text")) for f in fields]).where("text is not null")
     distinct = raw.groupBy(F.md5("text").alias("raw")).agg(F.first("text").alias("text"))
-    digests = distinct.select("raw", canonical(F.col("text")).alias("canon")).where("canon <> ''").select("raw", F.md5("canon").alias("canon"), mark("canon").alias("mark"))
-    digests = cut_lineage(digests)
+    # inside a lambda the canonical form is made once, however often it is read
+    read = F.transform(F.array(canonical(F.col("text"))), lambda c: F.when(c != "", F.struct(F.md5(c).alias("canon"), mark(c).alias("mark"))))
+    digests = cut_lineage(distinct.select("raw", F.explode(F.array_compact(read)).alias("v")).select("raw", "v.canon", "v.mark"))
     ids = digests.select("canon").distinct().select("canon", F.lit(0).alias("g"), F.xxhash64("canon").alias("h"))
-    ids = bucketed_running(ids, "g", "h", "canon", buckets=256, name="value_id").select("canon", "value_id")
+    ids = bucketed_running(ids, "g", "h", "canon", name="value_id").select("canon", "value_id")
     return cut_lineage(lookup(digests, ids, "canon").select("raw", "value_id", "mark"))
 
 
@@ -75,7 +76,7 @@ def format_copies(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     punctuation, invisible characters and the field that holds them. Null and blank are the same. Rows without any letter or digit have no copy but themselves.
     Rows with a null id are left out; a repeated id is one row. An empty table gives an empty result.
     """
-    rows = df.select(id_col, *[F.md5(f).alias(f"_{k}") for k, f in enumerate(fields)]).where(F.col(id_col).isNotNull())
+    rows = cut_lineage(df.select(id_col, *[F.md5(f).alias(f"_{k}") for k, f in enumerate(fields)]).where(F.col(id_col).isNotNull()))
     known = value_dictionary(df, fields)
     for k in range(len(fields)):
         rows = lookup(rows, known.select(F.col("raw").alias(f"_{k}"), F.col("value_id").alias(f"_id{k}"), F.col("mark").alias(f"_m{k}")), f"_{k}", "left").drop(f"_{k}")

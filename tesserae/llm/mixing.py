@@ -53,11 +53,14 @@ def mix_sources(docs: DataFrame, weights: DataFrame, budget: int | None = None,
     supply = {r["source"]: held.get(r["source"], 0) * r["max_repeats"] for r in listed}
     limit = finish_limit(supply, share, float(sum(held.values()) if budget is None else budget))
     queue = bucketed_running(sized.withColumn("_h", permuted("doc_id", seed=seed)), "source", "_h", "doc_id", F.col("n_tokens"), total="_all", name="_cum")
-    queue = queue.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
+    # copies that can't begin before the limit are not made
+    room = (F.lit(limit) * F.col("target_share") - F.col("_cum") + F.col("n_tokens")) / F.col("_all")
+    last = F.least(F.col("max_repeats") - 1.0, F.floor(F.least(room, F.lit(1e9))) + 1).cast("int")
+    queue = queue.withColumn("copy", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
     finish = (F.col("_cum") + F.col("copy") * F.col("_all")) / F.col("target_share")
     # a document belongs to the prefix if it begins before the limit
     mix = queue.withColumn("finish_time", finish).where(F.col("finish_time") - F.col("n_tokens") / F.col("target_share") < F.lit(limit))
-    mix = mix.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens", "finish_time")
+    mix = cut_lineage(mix.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens", "finish_time"))
     got = mix.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_distinct("doc_id").alias("n_distinct"), F.max("copy").alias("_top"), F.sum("n_tokens").alias("n_tokens"))
     supplied = spark.createDataFrame([(s, n) for s, n in supply.items()], "source string, supply bigint")
     report = table.join(got, "source", "left").join(supplied, "source", "left").na.fill(0, ["n_docs", "n_distinct", "n_tokens"])

@@ -104,6 +104,10 @@ def p6_ids(spark, d):
     return tokens.encode_texts(_read(spark, d, "documents"))
 
 
+def p6_decoded(spark, d):
+    return tokens.decode_texts(tokens.encode_texts(_read(spark, d, "documents")))
+
+
 def p7_mix(spark, d):
     return mixing.mix_sources(_read(spark, d, "documents"), _read(spark, d, "source_weights"))[0]
 
@@ -124,7 +128,7 @@ def p8_composition(spark, d):
     return subjects.composition(_subjects(spark, d), _read(spark, d, "documents"), _read(spark, d, "subject_areas"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_rows, p4_report, p5_found, p5_people, p5_organisations, p6_ids, p7_mix, p7_report, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split_pi, p1_split_institution, p1_report, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_rows, p4_report, p5_found, p5_people, p5_organisations, p6_ids, p6_decoded, p7_mix, p7_report, p8_found, p8_composition)}
 
 _UNKNOWN = ", ".join(f"'{w}'" for w in splits.NOT_KNOWN)
 
@@ -146,7 +150,12 @@ def _canonical(col: str) -> str:
     return f"regexp_replace(lower(nfc_normalize(coalesce({col}, ''))), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
 
 
-_PAIR = f"(select record_id, least({_canonical('title_clean')}, {_canonical('abstract_clean')}) as a, greatest({_canonical('title_clean')}, {_canonical('abstract_clean')}) as b from cleaned_nsf_awards_2000_2025)"
+# the same sequence in either order of the fields, wherever it is cut: groups are the components of records and sequences
+_SEQUENCES = f"(select record_id, a || b as x, b || a as y from (select record_id, {_canonical('title_clean')} as a, {_canonical('abstract_clean')} as b from cleaned_nsf_awards_2000_2025) where a || b <> '')"
+_COPIES = f"""with recursive s as materialized (select record_id, hash(x) as x, hash(y) as y from {_SEQUENCES}), e as materialized (select record_id::ubigint as r, x as k from s union select record_id::ubigint, y from s),
+    reach(n, least) using key (n) as (select distinct k, min(r) from e group by k
+        union select e2.k, min(reach.least) from reach join e on e.k = reach.n join e e2 on e2.r = e.r join recurring.reach old on old.n = e2.k where reach.least < old.least group by e2.k),
+    c as (select s.record_id, least::bigint as first_id from s join reach on n = x)"""
 _LABEL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_')"
 _CELLS = f"""with latest as (select * from (select *, row_number() over (partition by award_id order by last_amendment_date desc nulls last, record_id) as k from nsf_awards_with_methodology_flags where award_id is not null) where k = 1 and has_abstract = 1),
     counts as (select t.cell_id, count(l.record_id) as available from sample_targets t left join latest l on {_LABEL.format("l.candidate_stratum")} = {_LABEL.format("t.candidate_stratum")} and {_LABEL.format("l.nsforganization")} = {_LABEL.format("t.nsforganization")} and l.start_year between t.year_from and t.year_to group by 1)"""
@@ -154,7 +163,8 @@ _CELLS = f"""with latest as (select * from (select *, row_number() over (partiti
 #: SQL where it can say the same over whole tables; the others are tested against brute force, round trips or held-out rows.
 ORACLE: dict[str, str] = {
     "p1_found": _groups_sql(PI_TIES),
-    "p2_found": f"select * from (select min(record_id) over (partition by a, b) as first_id, record_id from {_PAIR} where b <> '') where first_id <> record_id",
-    "p2_collapsed": f"with g as (select *, min(record_id) over w as f, count(*) over w as n from {_PAIR} where b <> '' window w as (partition by a, b)) select c.record_id, c.award_id, c.title_clean, coalesce(g.n, 1) as n_copies from cleaned_nsf_awards_2000_2025 c left join g using (record_id) where g.f is null or g.f = c.record_id",
+    "p2_found": f"{_COPIES} select first_id, record_id from c where first_id <> record_id",
+    "p2_collapsed": f"{_COPIES}, g as (select first_id, count(*) as n from c group by 1) select a.record_id, a.award_id, a.title_clean, coalesce(g.n, 1) as n_copies from cleaned_nsf_awards_2000_2025 a left join c using (record_id) left join g on g.first_id = a.record_id where c.first_id is null or c.first_id = a.record_id",
+    "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p3_found": f"{_CELLS} select cell_id from counts join sample_targets using (cell_id) where available < greatest(min_rows, ceil(target_bp * sample_size / 10000.0))",
 }

@@ -19,8 +19,8 @@ from tesserae.session import cut_lineage
 
 #: Words for "not known", compared without case, signs and spaces; a value without any letter or digit is none either. Fixed values.
 NOT_KNOWN = ["unknown", "notknown", "none", "na", "nan", "null", "nil", "missing", "tbd", "tba", "notavailable", "notapplicable", "unspecified", "notspecified", "unassigned", "undefined", "anonymous", "blank", "empty", "noid", "nodata", "no", "nat", "unk", "x", "xx", "xxx"]
-#: Equal bins into which the components are balanced.
-BINS = 200
+#: Equal bins into which the components are balanced; most splits.
+BINS, MAX_SPLITS = 200, 1000
 
 
 def tie_key(col: Column | str) -> Column:
@@ -58,7 +58,7 @@ def difference_bins(sizes: list[tuple[int, int]], bins: int = BINS) -> list[dict
 
     Largest differencing: a partial solution is a row of bin weights; the two solutions with the widest spread are merged, heaviest bin
     upon lightest, until one is left. Of equal sizes every full round of ``bins`` is level and is set aside at once, so that at most
-    ``bins - 1`` of each distinct size are merged.
+    ``bins - 1`` of each distinct size are merged, and ``n`` rows have at most ``sqrt(2 n)`` distinct sizes. This runs on the driver, in about 20 us a merge.
     """
     out: list[dict[int, int]] = [{} for _ in range(bins)]
     heap, made = [], []
@@ -113,7 +113,10 @@ def grouped_split(df: DataFrame, id_col: str, ties: list[str], targets: DataFram
     The driver sees only how many components there are of each size: ``n`` rows have at most ``sqrt(2 n)`` distinct sizes. Components of a size
     are dealt to bins by their permuted rank. ``targets``: ``split_name, target_share``; shares are scaled to add up to 1.
     """
-    shares = {r["split_name"]: float(r["target_share"] or 0) for r in targets.select("split_name", "target_share").limit(1000).collect()}
+    listed = targets.select("split_name", "target_share").limit(MAX_SPLITS + 1).collect()
+    if len(listed) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
+    shares = {r["split_name"]: float(r["target_share"] or 0) for r in listed}
     scale = sum(shares.values()) or 1.0
     shares = {k: v / scale for k, v in shares.items()}
     groups = cut_lineage(tied_groups(df, id_col, ties))
@@ -121,16 +124,17 @@ def grouped_split(df: DataFrame, id_col: str, ties: list[str], targets: DataFram
     sizes = [(r["n_rows"], r["count"]) for r in heads.groupBy("n_rows").count().collect()]
     solved = difference_bins(sizes, bins)
     names = deal_bins(solved, shares) if shares else [None] * bins
-    ranges, start = [], {}
+    ranges, start = {}, {}
     for k, b in enumerate(solved):
         for size, n in sorted(b.items()):
             first = start.get(size, 1)
-            ranges.append((size, first, first + n - 1, k, names[k]))
+            ranges.setdefault(size, []).append((first, k, names[k]))
             start[size] = first + n
-    ranges = df.sparkSession.createDataFrame(ranges, "n_rows bigint, low bigint, high bigint, bin int, split string")
+    # one row per size: where its ranges begin, of which there are as many as bins at most
+    ranges = df.sparkSession.createDataFrame(list(ranges.items()), "n_rows bigint, ranges array<struct<low: bigint, bin: int, split: string>>")
     ranked = bucketed_running(heads.withColumn("_h", permuted("first_id", seed=seed)), "n_rows", "_h", "first_id", name="_rank")
-    # of each size at most `bins` ranges; a component lies in exactly one
-    dealt = ranked.join(ranges, (ranked["n_rows"] == ranges["n_rows"]) & F.col("_rank").between(F.col("low"), F.col("high"))).select("first_id", "bin", "split")
+    own = F.element_at(F.filter("ranges", lambda r: r["low"] <= F.col("_rank")), -1)
+    dealt = lookup(ranked, ranges, "n_rows").select("first_id", own.alias("own")).select("first_id", "own.bin", "own.split")
     return lookup(groups, dealt, "first_id").select(id_col, "first_id", "n_rows", "bin", "split")
 
 

@@ -1,6 +1,7 @@
 """Problem 3: a sample with target category proportions, by top-down allocation over the category tree.
 
-The tree is stratum > unit > year band; its leaves are the target cells. Quota that a cell can't fill goes first to its siblings
+The tree is stratum > unit > year band; its leaves are the target cells. The size of the sample is dealt from the root down: to the strata, inside each to its units, inside these to their
+cells, by weight and with the minima of all cells below respected at every level. Quota that a cell can't fill goes first to its siblings
 (other bands of the same unit), then to its cousins (other units of the same stratum), then to the other strata. The rows of a cell are
 drawn by their rank in a permuted order, so that the same seed gives the same sample on any cluster.
 """
@@ -11,8 +12,9 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from tesserae.operators.skew import bucketed_running, permuted
+from tesserae.operators.skew import attach, bucketed_running, permuted
 
 #: Most cells of a target table that the driver plans for.
 MAX_CELLS = 100_000
@@ -24,13 +26,18 @@ def label_key(col: Column | str) -> Column:
 
 
 def latest_rows(df: DataFrame, key: str, order: str, id_col: str) -> DataFrame:
-    """Of each ``key`` the row with the greatest ``order`` (null is least; of ties, the smallest ``id_col``).
+    """Of each ``key`` the row with the greatest ``order`` (null is least; of ties, the smallest ``id_col``, a number or a text).
 
     Combined before the shuffle, so a hot key is no problem. Rows without key are left out.
     """
     rest = [c for c in df.columns if c != key]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(order), -F.col(id_col)))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("_row")).select(key, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    rows = df.where(F.col(key).isNotNull())
+    if isinstance(df.schema[id_col].dataType, NumericType):
+        best = F.max_by(F.struct(*rest), F.struct(F.col(order), -F.col(id_col)))
+        return rows.groupBy(key).agg(best.alias("_row")).select(key, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    top = rows.groupBy(key).agg(F.max(order).alias("_top"))
+    best = F.min_by(F.struct(*rest), F.struct((~F.col(order).eqNullSafe(F.col("_top"))).alias("older"), id_col))
+    return attach(rows, top, [key]).groupBy(key).agg(best.alias("_row")).select(key, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
 def eligible(awards: DataFrame, targets: DataFrame) -> DataFrame:
@@ -63,21 +70,53 @@ def _shares(total: int, weights: dict, room: dict) -> dict:
     return out
 
 
+def deal_level(total: int, weights: dict, minima: dict) -> dict:
+    """``total`` dealt to the children of a node by ``weights`` in whole numbers, none below its minimum; largest remainders, ties by key.
+
+    Children whose share is below their minimum get the minimum; the others share what is left. Minima that add up to more than ``total`` are all given.
+    """
+    fixed: dict = {}
+    while True:
+        open_ = [c for c in weights if c not in fixed]
+        left = max(0, total - sum(fixed.values()))
+        sum_ = sum(weights[c] for c in open_)
+        exact = {c: left * weights[c] / sum_ if sum_ else left / len(open_) for c in open_}
+        low = {c: minima[c] for c in open_ if exact[c] < minima[c]}
+        if not low:
+            break
+        fixed |= low
+    out = fixed | {c: int(x) for c, x in exact.items()}
+    spare = max(0, total - sum(out.values()))
+    for c in sorted(open_, key=lambda c: (-(exact[c] % 1), str(c)))[:spare]:
+        out[c] += 1
+    return out
+
+
+def deal_down(cells: list[dict], total: int) -> dict[int, int]:
+    """The quota of every cell: the root deals to strata, each of these to its units, each of these to its cells."""
+    levels = (lambda c: c["stratum"], lambda c: c["unit"], lambda c: c["id"])
+
+    def down(part: list[dict], amount: int, depth: int) -> dict[int, int]:
+        if depth == len(levels):
+            return {part[0]["id"]: amount}
+        groups: dict = {}
+        for c in part:
+            groups.setdefault(levels[depth](c), []).append(c)
+        given = deal_level(amount, {g: sum(c["bp"] for c in p) for g, p in groups.items()}, {g: sum(c["least"] for c in p) for g, p in groups.items()})
+        return {i: n for g, p in groups.items() for i, n in down(p, given[g], depth + 1).items()}
+
+    return down(cells, total, 0)
+
+
 def allocate(cells: list[dict], available: dict[int, int]) -> dict[int, dict]:
     """Rows to draw from each cell. ``cells``: id, stratum, unit, bp, least, size. Whole numbers throughout.
 
-    Wanted are the rounded shares of the sample size, raised to the minimum of the cell; what the minima add is taken from the cells
-    above theirs in proportion. Gives per cell ``wanted``, ``own`` (drawn for itself), ``taken`` (for others) and ``unmet``.
+    ``wanted`` is the quota that comes down the tree (``deal_down``). Gives per cell ``wanted``, ``own`` (drawn for itself), ``taken`` (for others) and ``unmet``.
     """
     if not cells:
         return {}
-    size, weight, least = cells[0]["size"], {c["id"]: c["bp"] for c in cells}, {c["id"]: c["least"] for c in cells}
-    need = {i: min(least[i], size) for i in weight}
-    wanted = _shares(size, weight, dict.fromkeys(weight, size))
-    over = sum(max(0, need[i] - wanted[i]) for i in weight)
-    spare = {i: max(0, wanted[i] - need[i]) for i in weight}
-    cut = _shares(min(over, sum(spare.values())), spare, spare)
-    wanted = {i: max(wanted[i], need[i]) - cut[i] for i in weight}
+    size, weight = cells[0]["size"], {c["id"]: c["bp"] for c in cells}
+    wanted = deal_down([c | {"least": min(c["least"], size)} for c in cells], size)
     drawn = {i: min(wanted[i], available.get(i, 0)) for i in weight}
     plan = {i: {"wanted": wanted[i], "own": drawn[i], "taken": 0, "unmet": wanted[i] - drawn[i]} for i in weight}
     near = [defaultdict(list) for _ in range(3)]
@@ -111,6 +150,8 @@ def plan_sample(awards: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataF
     rows = cells.limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} target cells")
+    if len({r["sample_size"] for r in rows}) > 1:
+        raise ValueError("the cells name different sample sizes")
     fit = eligible(awards, targets)
     counts = {r["cell_id"]: r["count"] for r in fit.groupBy("cell_id").count().collect()}  # as many rows as cells
     plan = allocate([{"id": r["cell_id"], "stratum": r["s"], "unit": r["u"], "bp": r["bp"], "least": r["least"], "size": r["sample_size"] or 0} for r in rows], counts)

@@ -162,6 +162,41 @@ def test_unmet_quota_goes_to_siblings_before_cousins():
     assert stratified.allocate([], {}) == {}
 
 
+def test_quota_comes_down_the_tree():
+    """Against what must hold at every node of small random trees."""
+    r = random.Random(5)
+    for _ in range(200):
+        cells = [{"id": i, "stratum": r.choice("abc"), "unit": r.choice("uvw"), "bp": r.randrange(0, 3000), "least": r.choice([0, 0, 1, 7]), "size": 100} for i in range(r.randrange(1, 12))]
+        least = sum(c["least"] for c in cells)
+        got = stratified.deal_down(cells, 100)
+        assert sum(got.values()) == max(100, least) and all(got[c["id"]] >= c["least"] for c in cells)
+        for level in (lambda c: (), lambda c: (c["stratum"],), lambda c: (c["stratum"], c["unit"])):
+            for node in {level(c) for c in cells}:
+                below = [c for c in cells if level(c) == node]
+                child = lambda c: (c["stratum"], c["unit"], c["id"])[: len(node) + 1]
+                kids = {child(c) for c in below}
+                of = lambda k, f: sum(f(c) for c in below if child(c) == k)
+                quota = {k: of(k, lambda c: got[c["id"]]) for k in kids}
+                free = [k for k in kids if quota[k] > of(k, lambda c: c["least"])]
+                for x in free:  # children above their minimum stand in the proportion of their weights, but for rounding
+                    for y in free:
+                        wx, wy = of(x, lambda c: c["bp"]), of(y, lambda c: c["bp"])
+                        assert not (wx and wy) or quota[x] / wx <= (quota[y] + 1) / wy + 1 / wx
+        have = {c["id"]: r.randrange(0, 40) for c in cells}
+        plan = stratified.allocate(cells, have)
+        drawn = {i: p["own"] + p["taken"] for i, p in plan.items()}
+        assert all(drawn[i] <= have[i] for i in drawn) and sum(drawn.values()) == min(max(100, least), sum(have.values()))
+        for c in cells:  # nothing goes to cousins while a sibling has rows left
+            near = [x for x in cells if x["stratum"] == c["stratum"] and x["unit"] == c["unit"]]
+            short = sum(plan[x["id"]]["wanted"] for x in near) - sum(drawn[x["id"]] for x in near)
+            assert short <= 0 or all(drawn[x["id"]] == have[x["id"]] for x in near)
+
+
+def test_latest_rows_with_text_ids(spark):
+    df = spark.createDataFrame([("r2", "a", 5), ("r1", "a", 5), ("r0", "a", 4), ("r3", "b", None), ("r4", None, 9)], "id string, award string, d int")
+    assert sorted(map(tuple, stratified.latest_rows(df, "award", "d", "id").select("award", "id").collect())) == [("a", "r1"), ("b", "r3")]
+
+
 def test_sample_of_empty_tables(spark):
     assert stratified.draw_sample(spark.createDataFrame([], AWARD), spark.createDataFrame([(1, "a", "b", 1, 2, 10000, 1, 5)], CELL)).count() == 0
     assert stratified.draw_sample(spark.createDataFrame([], AWARD), spark.createDataFrame([], CELL)).count() == 0
@@ -331,6 +366,25 @@ def test_ids_equal_the_tokenizer_and_round_trip(spark):
     assert sizes == {i: len(x) for i, x in got.items()}
 
 
+def test_ids_of_very_long_words():
+    import time
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(11)
+    reference = Tokenizer.from_file(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")
+    reference.encode_special_tokens = True
+    own = tokens.BpeEncoder("byte_bpe_50k", tokens.TOKENIZERS)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(200_000))
+    began = time.time()
+    assert own.encode([long])[0] == reference.encode(long, add_special_tokens=False).ids
+    assert time.time() - began < 10
+    for n in range(60):
+        part = "".join(r.choice("abcdefghijklmnopqrstuvwxyz"[: r.choice([1, 2, 3, 5, 12, 26])]) for _ in range(r.randrange(201, 900)))
+        assert own.encode([part])[0] == reference.encode(part, add_special_tokens=False).ids
+    assert own.decode([own.encode([long])[0], None, []]) == [long, "", ""]
+
+
 def test_ids_of_empty_table(spark):
     assert tokens.encode_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
