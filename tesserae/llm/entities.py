@@ -2,8 +2,9 @@
 
 A spelling is parsed into a stable part (last name, town), a part that gets abbreviated (first name, kind of organisation), a middle initial and an anchor:
 what ties rows for certain (an e-mail address). The city of an organisation is no anchor but evidence: it speaks for a partner, and against one whose name is not equal. Spellings start as small profiles. In each round every profile without anchor
-looks through the blocks of all its spellings for the one profile that fits best and is merged into it; the merged profile has the spellings, initials and
-anchor of both and enters the next round, so that what was undecided before may be decided then. The rounds end when nothing merges.
+looks through the blocks of all its spellings for the one profile that fits best and is merged into it. The merged profile has the spellings, initials and
+anchor of both, and the spellings that they make together (the last name of one with the first name of another); with these it enters the blocks again, so that it may meet profiles that neither part has met, and
+what was undecided before may be decided. The rounds end when nothing merges.
 A profile takes at most one partner a round and only a richer one, so two anchors never end in one profile.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.overlap import _ACCENTED
@@ -65,11 +66,11 @@ def one_error(a: str, b: str) -> Column:
     return (F.least(F.length(a), F.length(b)) >= TYPO_LENGTH - 1) & (F.greatest(F.length(a), F.length(b)) >= TYPO_LENGTH) & ((F.levenshtein(a, b) <= 1) | swapped)
 
 
-def person_spellings(edges: DataFrame) -> DataFrame:
+def person_spellings(edges: DataFrame, short_forms: dict[str, str] = SHORT_FORMS) -> DataFrame:
     """``(id, last, first, full, mid, anchor)``: distinct parsed spellings of each ``person_id`` of award-person edges.
 
     Understands titles and degrees, "Last, First M.", "Last FM", "F. M. Last", short forms and double names (known by their first half). The anchor of a row with an e-mail
-    address is host, last name and initial. Null or empty names without address are left out.
+    address is host, last name and initial. Null or empty names without address are left out. ``short_forms`` gives the short forms of each first name, with blanks between them.
     """
     rows = edges.where("person_id is not null").select(F.col("person_id").alias("id"), F.coalesce("pi_name", F.lit("")).alias("name"), F.lower(F.trim(F.coalesce("pi_email", F.lit("")))).alias("mail")).distinct()
     text = F.regexp_replace(F.regexp_replace(_fold(F.col("name")), r"[.\p{Z}\s_]+", " "), r"[^\p{L}\p{N} ,-]+", "")
@@ -81,7 +82,7 @@ def person_spellings(edges: DataFrame) -> DataFrame:
     last = F.when(comma, F.trim(F.substring_index("t", ",", 1))).when(initials, F.array_join(F.expr("slice(w, 1, size(w) - 1)"), " ")).otherwise(tail)
     given = F.when(comma, F.trim(F.expr("substring(t, instr(t, ',') + 1)"))).when(initials, F.array_join(F.split(tail, ""), " ")).otherwise(F.array_join(F.expr("slice(w, 1, size(w) - 1)"), " "))
     rows = rows.withColumn("last", F.regexp_replace(F.substring_index(last, "-", 1), "[^a-z0-9]", "")).withColumn("g", F.filter(F.split(F.trim(given), "[ ,]+"), lambda x: x != ""))
-    formal = _lookup_map({short: name for name, shorts in SHORT_FORMS.items() for short in shorts.split()})
+    formal = _lookup_map({short: name for name, shorts in short_forms.items() for short in shorts.split()})
     first = F.coalesce(F.get("g", F.lit(0)), F.lit(""))
     rows = rows.withColumn("first", F.coalesce(F.try_element_at(formal, first), first)).withColumn("mid", F.substring(F.get("g", F.lit(1)), 1, 1))
     local, host = F.substring_index("mail", "@", 1), F.substring_index("mail", "@", -1)
@@ -139,25 +140,46 @@ def _fits(pairs: DataFrame) -> DataFrame:
     return pairs.select("ent_p", "ent_a", (2 * cost - both - F.col("near")).alias("cost"), "near")
 
 
-def candidates(names: DataFrame) -> DataFrame:
-    """``(ent_p, ent_a, cost, near)`` of profiles whose spellings fit; ent_p has no anchor.
+def candidates(names: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """``(ent_p, ent_a, cost, near)`` of profiles whose spellings fit; ent_p has no anchor. With ``fresh``, only pairs in which one of these spellings takes part.
 
     Blocks are made so that no pair arises only from a common last name: the whole first part or the initial of a shortened one is always part of the key.
     """
-    names = cut_lineage(names.withColumn("no", F.xxhash64("ent", "last", "first", "mid", "town")))
-    poor, initial = names.where("not anchored"), F.substring("first", 1, 1)
+    number = F.xxhash64("ent", "last", "first", "mid", "town")
+    names = names.withColumn("no", number) if fresh is not None else cut_lineage(names.withColumn("no", number))
+    if fresh is None:
+        pairs = _block_pairs(names, names).distinct()
+    else:
+        fresh = fresh.withColumn("no", number)
+        pairs = _block_pairs(fresh, names).unionAll(_block_pairs(names, fresh)).distinct()
+    # only numbers are exploded and joined; the spellings come back for the distinct pairs
+    cols = ["ent", "last", "first", "full", "mid", "town"]
+    pairs = pairs.join(names.select(F.col("no").alias("p"), *[F.col(c).alias(f"{c}_p") for c in cols]), "p")
+    pairs = pairs.join(names.select(F.col("no").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols]), "a")
+    return _fits(pairs.where("ent_p <> ent_a")).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near"))
+
+
+def _block_pairs(left: DataFrame, names: DataFrame) -> DataFrame:
+    """``(p, a)``: numbers of spellings of ``left`` without anchor and of ``names`` that share a block."""
+    poor, initial = left.where("not anchored"), F.substring("first", 1, 1)
     joins = [
         (_keys(poor.where("full"), "p", "first", many=_errors("last")), _keys(names.where("full"), "a", "first", many=_errors("last"))),
         (_keys(poor.where("full"), "p", "last", many=_errors("first")), _keys(names.where("full"), "a", "last", many=_errors("first"))),
         (_keys(poor.where("not full"), "p", initial, many=_errors("last")), _keys(names, "a", initial, many=_errors("last"))),
         (_keys(poor.where("full"), "p", initial, many=_errors("last")), _keys(names.where("not full"), "a", initial, many=_errors("last"))),
     ]
-    # only numbers are exploded and joined; the spellings come back for the distinct pairs
-    pairs = reduce(DataFrame.unionAll, [p.join(a, "key").where("p <> a").select("p", "a") for p, a in joins]).distinct()
-    cols = ["ent", "last", "first", "full", "mid", "town"]
-    pairs = pairs.join(names.select(F.col("no").alias("p"), *[F.col(c).alias(f"{c}_p") for c in cols]), "p")
-    pairs = pairs.join(names.select(F.col("no").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols]), "a")
-    return _fits(pairs.where("ent_p <> ent_a")).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near"))
+    return reduce(DataFrame.unionAll, [p.join(a, "key").where("p <> a").select("p", "a") for p, a in joins])
+
+
+def _made_together(names: DataFrame, label: DataFrame, moves: DataFrame) -> DataFrame:
+    """Spellings that profiles merged by ``moves`` have only together: every last part with every first part, with the initial if they have but one."""
+    moved = label.join(moves.select(F.col("p").alias("ent")), "ent", "left_semi").select("now").distinct()
+    own = names.join(label.select("ent", "now", F.col("anchored").alias("sure")), "ent").join(moved, "now", "left_semi")
+    whole = own.groupBy("now").agg(F.collect_set("last").alias("lasts"), F.collect_set(F.struct("first", "full")).alias("firsts"), F.collect_set("mid").alias("mids"), F.min("town").alias("town"), F.max("sure").alias("anchored"))
+    mid = F.when(F.size("mids") == 1, F.get("mids", F.lit(0)))
+    both = whole.where("size(lasts) > 1 and size(firsts) > 1").select(F.col("now").alias("ent"), F.explode("lasts").alias("last"), "firsts", mid.alias("mid"), "town", "anchored").select("ent", "last", F.explode("firsts").alias("f"), "mid", "town", "anchored")
+    both = both.select("ent", "last", "f.first", "f.full", "mid", "town", "anchored")
+    return both.join(own.select(F.col("now").alias("ent"), "last", "first").distinct(), ["ent", "last", "first"], "left_anti").select(*names.columns)
 
 
 def _errors(col: str) -> Column:
@@ -177,7 +199,7 @@ def resolve(spellings: DataFrame) -> DataFrame:
     marked = spellings.join(free, ["last", "first"], "left")
     name = F.concat_ws("|", F.lit("name"), "last", "first", F.when(F.col("n_mid") > 1, F.coalesce("mid", F.lit("?"))))
     marked = cut_lineage(marked.withColumn("ent", F.coalesce(F.concat(F.lit("@|"), "anchor"), name)))
-    names = marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", F.col("anchor").isNotNull().alias("anchored")).distinct()
+    names = cut_lineage(marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", F.col("anchor").isNotNull().alias("anchored")).distinct())
     links = cut_lineage(candidates(names))
     # richer: with anchor, then with a whole first part, then more spellings
     rich = marked.groupBy("ent").agg(F.max(F.struct(F.col("anchor").isNotNull().alias("anchored"), "full")).alias("best"), F.count("*").alias("n"), F.collect_set("mid").alias("mids"))
@@ -189,8 +211,8 @@ def resolve(spellings: DataFrame) -> DataFrame:
         open_ = links.join(left, "ent_p").join(right, "ent_a").where("p <> a and rank_a > rank_p and (size(mids_p) = 0 or size(mids_a) = 0 or arrays_overlap(mids_p, mids_a))").groupBy("p", "a").agg(F.min("cost").alias("cost"), F.max("sure").alias("sure"), F.max("near").alias("near"), F.max("rank_a").alias("rank_a"), F.first("mids_p").alias("mids_p"), F.first("mids_a").alias("mids_a"))
         # of the fitting profiles the cheapest, those with an anchor first; undecided if there are several, unless all are of one kind in one town
         order = F.struct("cost", (~F.col("sure")).alias("unsure"))
-        best = Window.partitionBy("p")
-        ranked = open_.withColumn("order", order).withColumn("least", F.min("order").over(best)).where("order = least")
+        open_ = open_.withColumn("order", order)
+        ranked = open_.join(open_.groupBy("p").agg(F.min("order").alias("least")), "p").where("order = least")
         moves = cut_lineage(ranked.groupBy("p").agg(F.count("*").alias("k"), F.min("near").alias("near"), F.max_by(F.struct("a", "mids_a"), "rank_a").alias("to"), F.first("mids_p").alias("mids_p")).where("k = 1 or near = 1").select("p", "to.*", "mids_p"))
         # of partners that would bring different initials to one without any, none moves
         split = moves.where("size(mids_a) = 0").select("a", F.explode("mids_p").alias("mid")).groupBy("a").agg(F.count_distinct("mid").alias("n_mid")).where("n_mid > 1").select("a")
@@ -205,6 +227,11 @@ def resolve(spellings: DataFrame) -> DataFrame:
             label = step.select("ent", F.coalesce("a", "now").alias("now"), "anchored", "rank", "mids")
         top = label.groupBy("now").agg(F.max("anchored").alias("anchored"), F.max("rank").alias("rank"), F.array_distinct(F.flatten(F.collect_set("mids"))).alias("mids"))
         label = cut_lineage(label.select("ent", "now").join(top, "now").select("ent", "now", "anchored", "rank", "mids"))
+        # merged profiles enter the blocks again, with the spellings that they have only now
+        fresh = cut_lineage(_made_together(names, label, moves))
+        if not fresh.isEmpty():
+            names = cut_lineage(names.unionByName(fresh))
+            links = cut_lineage(links.unionByName(candidates(names, fresh)).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near")))
     return marked.select("id", "ent").join(label.select("ent", "now"), "ent").groupBy("id").agg(F.min("now").alias("entity"))
 
 

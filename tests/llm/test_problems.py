@@ -324,6 +324,22 @@ def test_initials_of_merged_profiles_are_united(spark):
     assert not any({"1", "2"} <= set(x) for x in got) and ["5", "6", "7"] in got
 
 
+def test_merged_profiles_meet_others_by_the_spellings_they_make_together(spark):
+    rows = [
+        ("1", "Gwendolyn Ashworthy", None), ("2", "GWENDOLYN ASHWORTHY", ""), ("3", "Gwendolyn Ashwurthy", None), ("4", "Gwendolyns Ashworthy", None), ("5", "Gwendolyns Ashwurthyy", None),  # 5 is two errors away from each, one from what 1, 3 and 4 make together
+        ("6", "Bertholda K. Quimbleton", None), ("7", "Bertholda Quimbleton", None), ("8", "BERTHOLDA QUIMBLETON", " "), ("9", "Bertholda J. Quimbletn", None),  # K. learnt by the merge forbids J.
+    ]
+    got = people(spark, rows)
+    assert ["1", "2", "3", "4", "5"] in got and ["6", "7", "8"] in got and ["9"] in got
+
+
+def test_short_forms_are_a_parameter(spark):
+    rows = [("1", "Wilhelmina Trotwood", "wtrotwood@a.example", "x"), ("2", "Mina Trotwood", None, "x")]
+    df = spark.createDataFrame(rows, "person_id string, pi_name string, pi_email string, entity string")
+    joined = lambda **more: entities.resolve(entities.person_spellings(df, **more)).select("entity").distinct().count()
+    assert joined() == 2 and joined(short_forms=entities.SHORT_FORMS | {"wilhelmina": "mina minnie"}) == 1
+
+
 def test_spellings_of_organisations(spark):
     rows = [("a", "University of Oakford", "Oakford"), ("b", "Oakford, Univ. of", "Oakford"), ("c", "UNIVERSTY OF OAKFORD", None), ("d", "Oakford State University", "Oakford"), ("e", "St. U., Oakford", None), ("f", "Oakfrod Community College Inc", "Oakford"), ("g", "Oakford CC", "Oakford"), ("h", None, "Oakford"), ("i", " ", None), ("j", "University of Elmbury", "Elmbury")]
     df = spark.createDataFrame(rows, "institution_id string, organization_clean string, organizationcity string")
