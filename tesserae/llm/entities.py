@@ -11,7 +11,6 @@ A profile takes at most one partner a round and only a richer one, so two anchor
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,9 +120,24 @@ def organisation_spellings(awards: DataFrame) -> DataFrame:
     return rows.select("id", own.alias("last"), kind.alias("first"), F.lit(True).alias("full"), none.alias("mid"), none.alias("anchor"), "town").distinct()
 
 
-def _keys(names: DataFrame, name: str, *parts: Column | str, many: Column) -> DataFrame:
-    """``(name, key)``: the numbers of the spellings and the hashes of their blocks."""
-    return names.withColumn("_d", F.explode(many)).select(F.col("no").alias(name), F.xxhash64("_d", *parts).alias("key"))
+#: Columns that tell the spellings of profiles apart.
+NUMBERED = ["ent", "last", "first", "mid", "town"]
+
+
+def blocks(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(no, key)`` twice: the blocks in which spellings without anchor look for partners, and those in which all spellings are found.
+
+    Blocks are made so that no pair arises only from a common last name: the whole first part or the initial of a shortened one is always part of the key. Whole first
+    parts meet by first part and last part but for an error (1), or the other way round (2); shortened ones meet all by initial (3), and whole ones meet shortened ones (4).
+    """
+    def key(kind: int, errors: Column, rest: str) -> Column:
+        return F.transform(errors, lambda d: F.xxhash64(F.lit(kind), d, F.col(rest)))
+
+    rows = names.select("no", "anchored", "full", "last", "first", F.substring("first", 1, 1).alias("initial"), _errors("last").alias("l"), _errors("first").alias("f"))
+    whole, initial = F.concat(key(1, F.col("l"), "first"), key(2, F.col("f"), "last")), lambda kind: key(kind, F.col("l"), "initial")
+    looks = rows.where("not anchored").select("no", F.explode(F.when(F.col("full"), F.concat(whole, initial(4))).otherwise(initial(3))).alias("key"))
+    found = rows.select("no", F.explode(F.when(F.col("full"), F.concat(whole, initial(3))).otherwise(F.concat(initial(3), initial(4)))).alias("key"))
+    return looks, found
 
 
 def _fits(pairs: DataFrame) -> DataFrame:
@@ -140,35 +154,16 @@ def _fits(pairs: DataFrame) -> DataFrame:
     return pairs.select("ent_p", "ent_a", (2 * cost - both - F.col("near")).alias("cost"), "near")
 
 
-def candidates(names: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """``(ent_p, ent_a, cost, near)`` of profiles whose spellings fit; ent_p has no anchor. With ``fresh``, only pairs in which one of these spellings takes part.
-
-    Blocks are made so that no pair arises only from a common last name: the whole first part or the initial of a shortened one is always part of the key.
-    """
-    number = F.xxhash64("ent", "last", "first", "mid", "town")
-    names = names.withColumn("no", number) if fresh is not None else cut_lineage(names.withColumn("no", number))
-    if fresh is None:
-        pairs = _block_pairs(names, names).distinct()
-    else:
-        fresh = fresh.withColumn("no", number)
-        pairs = _block_pairs(fresh, names).unionAll(_block_pairs(names, fresh)).distinct()
-    # only numbers are exploded and joined; the spellings come back for the distinct pairs
+def candidates(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(ent_p, ent_a, cost, near)`` of profiles of which spellings meet in ``pairs (p, a)`` and fit; ent_p has no anchor."""
     cols = ["ent", "last", "first", "full", "mid", "town"]
-    pairs = pairs.join(names.select(F.col("no").alias("p"), *[F.col(c).alias(f"{c}_p") for c in cols]), "p")
+    pairs = pairs.where("p <> a").distinct().join(names.select(F.col("no").alias("p"), *[F.col(c).alias(f"{c}_p") for c in cols]), "p")
     pairs = pairs.join(names.select(F.col("no").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols]), "a")
     return _fits(pairs.where("ent_p <> ent_a")).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near"))
 
 
-def _block_pairs(left: DataFrame, names: DataFrame) -> DataFrame:
-    """``(p, a)``: numbers of spellings of ``left`` without anchor and of ``names`` that share a block."""
-    poor, initial = left.where("not anchored"), F.substring("first", 1, 1)
-    joins = [
-        (_keys(poor.where("full"), "p", "first", many=_errors("last")), _keys(names.where("full"), "a", "first", many=_errors("last"))),
-        (_keys(poor.where("full"), "p", "last", many=_errors("first")), _keys(names.where("full"), "a", "last", many=_errors("first"))),
-        (_keys(poor.where("not full"), "p", initial, many=_errors("last")), _keys(names, "a", initial, many=_errors("last"))),
-        (_keys(poor.where("full"), "p", initial, many=_errors("last")), _keys(names.where("not full"), "a", initial, many=_errors("last"))),
-    ]
-    return reduce(DataFrame.unionAll, [p.join(a, "key").where("p <> a").select("p", "a") for p, a in joins])
+def _meet(looks: DataFrame, found: DataFrame) -> DataFrame:
+    return looks.withColumnRenamed("no", "p").join(found.withColumnRenamed("no", "a"), "key").select("p", "a")
 
 
 def _made_together(names: DataFrame, label: DataFrame, moves: DataFrame) -> DataFrame:
@@ -179,7 +174,8 @@ def _made_together(names: DataFrame, label: DataFrame, moves: DataFrame) -> Data
     mid = F.when(F.size("mids") == 1, F.get("mids", F.lit(0)))
     both = whole.where("size(lasts) > 1 and size(firsts) > 1").select(F.col("now").alias("ent"), F.explode("lasts").alias("last"), "firsts", mid.alias("mid"), "town", "anchored").select("ent", "last", F.explode("firsts").alias("f"), "mid", "town", "anchored")
     both = both.select("ent", "last", "f.first", "f.full", "mid", "town", "anchored")
-    return both.join(own.select(F.col("now").alias("ent"), "last", "first").distinct(), ["ent", "last", "first"], "left_anti").select(*names.columns)
+    new = both.join(own.select(F.col("now").alias("ent"), "last", "first").distinct(), ["ent", "last", "first"], "left_anti")
+    return new.withColumn("no", F.xxhash64(*NUMBERED)).select(*names.columns)
 
 
 def _errors(col: str) -> Column:
@@ -199,8 +195,9 @@ def resolve(spellings: DataFrame) -> DataFrame:
     marked = spellings.join(free, ["last", "first"], "left")
     name = F.concat_ws("|", F.lit("name"), "last", "first", F.when(F.col("n_mid") > 1, F.coalesce("mid", F.lit("?"))))
     marked = cut_lineage(marked.withColumn("ent", F.coalesce(F.concat(F.lit("@|"), "anchor"), name)))
-    names = cut_lineage(marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", F.col("anchor").isNotNull().alias("anchored")).distinct())
-    links = cut_lineage(candidates(names))
+    names = cut_lineage(marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", F.col("anchor").isNotNull().alias("anchored")).distinct().withColumn("no", F.xxhash64(*NUMBERED)))
+    looks, found = map(cut_lineage, blocks(names))
+    links = cut_lineage(candidates(names, _meet(looks, found)))
     # richer: with anchor, then with a whole first part, then more spellings
     rich = marked.groupBy("ent").agg(F.max(F.struct(F.col("anchor").isNotNull().alias("anchored"), "full")).alias("best"), F.count("*").alias("n"), F.collect_set("mid").alias("mids"))
     label = cut_lineage(rich.select("ent", F.col("ent").alias("now"), F.col("best.anchored"), F.struct(F.col("best.anchored"), F.col("best.full"), "n", "ent").alias("rank"), "mids"))
@@ -230,8 +227,11 @@ def resolve(spellings: DataFrame) -> DataFrame:
         # merged profiles enter the blocks again, with the spellings that they have only now
         fresh = cut_lineage(_made_together(names, label, moves))
         if not fresh.isEmpty():
-            names = cut_lineage(names.unionByName(fresh))
-            links = cut_lineage(links.unionByName(candidates(names, fresh)).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near")))
+            names = names.unionByName(fresh)
+            new_looks, new_found = blocks(fresh)
+            looks, found = looks.unionByName(new_looks), found.unionByName(new_found)
+            more = candidates(names, _meet(new_looks, found).unionByName(_meet(looks, new_found)))
+            links = cut_lineage(links.unionByName(more).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near")))
     return marked.select("id", "ent").join(label.select("ent", "now"), "ent").groupBy("id").agg(F.min("now").alias("entity"))
 
 
