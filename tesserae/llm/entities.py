@@ -155,27 +155,27 @@ def _fits(pairs: DataFrame) -> DataFrame:
 
 
 def candidates(names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(ent_p, ent_a, cost, near)`` of profiles of which spellings meet in ``pairs (p, a)`` and fit; ent_p has no anchor."""
+    """``(p, a, cost, near)`` of profiles of which spellings meet in ``pairs (p, a)`` and fit; p has no anchor."""
     cols = ["ent", "last", "first", "full", "mid", "town"]
     pairs = pairs.where("p <> a").distinct().join(names.select(F.col("no").alias("p"), *[F.col(c).alias(f"{c}_p") for c in cols]), "p")
     pairs = pairs.join(names.select(F.col("no").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols]), "a")
-    return _fits(pairs.where("ent_p <> ent_a")).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near"))
+    return _fits(pairs.where("ent_p <> ent_a")).groupBy(F.col("ent_p").alias("p"), F.col("ent_a").alias("a")).agg(F.min("cost").alias("cost"), F.max("near").alias("near"))
 
 
 def _meet(looks: DataFrame, found: DataFrame) -> DataFrame:
     return looks.withColumnRenamed("no", "p").join(found.withColumnRenamed("no", "a"), "key").select("p", "a")
 
 
-def _made_together(names: DataFrame, label: DataFrame, moves: DataFrame) -> DataFrame:
+def _made_together(names: DataFrame, label: DataFrame, prof: DataFrame, moves: DataFrame) -> DataFrame:
     """Spellings that profiles merged by ``moves`` have only together: every last part with every first part, with the initial if they have but one."""
-    moved = label.join(moves.select(F.col("p").alias("ent")), "ent", "left_semi").select("now").distinct()
-    own = names.join(label.select("ent", "now", F.col("anchored").alias("sure")), "ent").join(moved, "now", "left_semi")
-    whole = own.groupBy("now").agg(F.collect_set("last").alias("lasts"), F.collect_set(F.struct("first", "full")).alias("firsts"), F.collect_set("mid").alias("mids"), F.min("town").alias("town"), F.max("sure").alias("anchored"))
+    grown = prof.join(moves.select(F.col("a").alias("now")).distinct(), "now", "left_semi").select("now", F.col("anchored").alias("sure"))
+    own = names.join(label.join(grown, "now"), "ent")
+    whole = own.groupBy("now").agg(F.collect_set("last").alias("lasts"), F.collect_set(F.struct("first", "full")).alias("firsts"), F.collect_set("mid").alias("mids"), F.min("town").alias("town"), F.max("sure").alias("anchored"), F.collect_set(F.struct("last", "first")).alias("old"))
     mid = F.when(F.size("mids") == 1, F.get("mids", F.lit(0)))
-    both = whole.where("size(lasts) > 1 and size(firsts) > 1").select(F.col("now").alias("ent"), F.explode("lasts").alias("last"), "firsts", mid.alias("mid"), "town", "anchored").select("ent", "last", F.explode("firsts").alias("f"), "mid", "town", "anchored")
-    both = both.select("ent", "last", "f.first", "f.full", "mid", "town", "anchored")
-    new = both.join(own.select(F.col("now").alias("ent"), "last", "first").distinct(), ["ent", "last", "first"], "left_anti")
-    return new.withColumn("no", F.xxhash64(*NUMBERED)).select(*names.columns)
+    every = F.flatten(F.transform("lasts", lambda x: F.transform("firsts", lambda y: F.struct(x.alias("last"), y["first"].alias("first"), y["full"].alias("full")))))
+    new = F.filter(every, lambda z: ~F.exists("old", lambda o: (o["last"] == z["last"]) & (o["first"] == z["first"])))
+    rows = whole.where("size(lasts) > 1 and size(firsts) > 1").select(F.col("now").alias("ent"), F.explode(new).alias("z"), mid.alias("mid"), "town", "anchored")
+    return rows.select("ent", "z.last", "z.first", "z.full", "mid", "town", "anchored").withColumn("no", F.xxhash64(*NUMBERED)).select(*names.columns)
 
 
 def _errors(col: str) -> Column:
@@ -183,7 +183,7 @@ def _errors(col: str) -> Column:
 
 
 def resolve(spellings: DataFrame) -> DataFrame:
-    """``(id, entity)`` for every id of ``spellings``; ids of one entity have the same value.
+    """``(id, entity)`` for every id of ``spellings``; ``entity`` is the smallest id of the entity.
 
     A profile with several equally good partners is left alone in that round: it may be decided when they have merged. Organisations in its own town that fit equally well by name are spellings of one: it takes the richest.
     Profiles whose middle initials differ never merge; two that would meet in a third one without initials both stay. Every round merges at least two profiles, so the rounds end. Ids without anything to go by are left out.
@@ -194,23 +194,27 @@ def resolve(spellings: DataFrame) -> DataFrame:
     free = spellings.where("anchor is null").groupBy("last", "first").agg(F.count_distinct("mid").alias("n_mid"))
     marked = spellings.join(free, ["last", "first"], "left")
     name = F.concat_ws("|", F.lit("name"), "last", "first", F.when(F.col("n_mid") > 1, F.coalesce("mid", F.lit("?"))))
-    marked = cut_lineage(marked.withColumn("ent", F.coalesce(F.concat(F.lit("@|"), "anchor"), name)))
-    names = cut_lineage(marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", F.col("anchor").isNotNull().alias("anchored")).distinct().withColumn("no", F.xxhash64(*NUMBERED)))
+    marked = cut_lineage(marked.withColumn("key", F.coalesce(F.concat(F.lit("@|"), "anchor"), name)).withColumn("anchored", F.col("anchor").isNotNull()))
+    # profiles are numbered once; the numbers are read from the checkpoint from then on. Richer: with anchor, then with a whole first part, then more spellings
+    heads = marked.groupBy("key").agg(F.max(F.struct("anchored", "full")).alias("best"), F.count("*").alias("n"), F.collect_set("mid").alias("mids"))
+    heads = cut_lineage(heads.withColumn("ent", F.monotonically_increasing_id()))
+    marked = cut_lineage(marked.join(heads.select("key", "ent"), "key").withColumn("h", F.xxhash64("key")).drop("key", "anchor", "n_mid"))
+    names = marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", "anchored").distinct()
+    names = cut_lineage(names.withColumn("no", F.xxhash64(*NUMBERED)))
     looks, found = map(cut_lineage, blocks(names))
     links = cut_lineage(candidates(names, _meet(looks, found)))
-    # richer: with anchor, then with a whole first part, then more spellings
-    rich = marked.groupBy("ent").agg(F.max(F.struct(F.col("anchor").isNotNull().alias("anchored"), "full")).alias("best"), F.count("*").alias("n"), F.collect_set("mid").alias("mids"))
-    label = cut_lineage(rich.select("ent", F.col("ent").alias("now"), F.col("best.anchored"), F.struct(F.col("best.anchored"), F.col("best.full"), "n", "ent").alias("rank"), "mids"))
+    prof = heads.select(F.col("ent").alias("now"), F.col("best.anchored"), F.struct(F.col("best.anchored"), F.col("best.full"), "n", F.xxhash64("key").alias("h"), "ent").alias("rank"), "mids")
+    label = heads.select("ent", F.col("ent").alias("now"))
     while True:
-        left = label.where("not anchored").select(F.col("ent").alias("ent_p"), F.col("now").alias("p"), F.col("rank").alias("rank_p"), F.col("mids").alias("mids_p"))
-        right = label.select(F.col("ent").alias("ent_a"), F.col("now").alias("a"), F.col("anchored").alias("sure"), F.col("rank").alias("rank_a"), F.col("mids").alias("mids_a"))
+        left = prof.where("not anchored").select(F.col("now").alias("p"), F.col("rank").alias("rank_p"), F.col("mids").alias("mids_p"))
+        right = prof.select(F.col("now").alias("a"), F.col("anchored").alias("sure"), F.col("rank").alias("rank_a"), F.col("mids").alias("mids_a"))
         # only richer profiles: the poorer ones may come to this one
-        open_ = links.join(left, "ent_p").join(right, "ent_a").where("p <> a and rank_a > rank_p and (size(mids_p) = 0 or size(mids_a) = 0 or arrays_overlap(mids_p, mids_a))").groupBy("p", "a").agg(F.min("cost").alias("cost"), F.max("sure").alias("sure"), F.max("near").alias("near"), F.max("rank_a").alias("rank_a"), F.first("mids_p").alias("mids_p"), F.first("mids_a").alias("mids_a"))
+        open_ = links.join(left, "p").join(right, "a").where("rank_a > rank_p and (size(mids_p) = 0 or size(mids_a) = 0 or arrays_overlap(mids_p, mids_a))")
         # of the fitting profiles the cheapest, those with an anchor first; undecided if there are several, unless all are of one kind in one town
-        order = F.struct("cost", (~F.col("sure")).alias("unsure"))
-        open_ = open_.withColumn("order", order)
-        ranked = open_.join(open_.groupBy("p").agg(F.min("order").alias("least")), "p").where("order = least")
-        moves = cut_lineage(ranked.groupBy("p").agg(F.count("*").alias("k"), F.min("near").alias("near"), F.max_by(F.struct("a", "mids_a"), "rank_a").alias("to"), F.first("mids_p").alias("mids_p")).where("k = 1 or near = 1").select("p", "to.*", "mids_p"))
+        open_ = open_.withColumn("order", F.struct("cost", (~F.col("sure")).alias("unsure")))
+        best = open_.groupBy("p", "order").agg(F.count("*").alias("k"), F.min("near").alias("near"), F.max_by(F.struct("a", "mids_a"), "rank_a").alias("to"), F.first("mids_p").alias("mids_p"))
+        best = best.groupBy("p").agg(F.min_by(F.struct("k", "near", "to", "mids_p"), "order").alias("b"))
+        moves = cut_lineage(best.where("b.k = 1 or b.near = 1").select("p", "b.to.*", "b.mids_p"))
         # of partners that would bring different initials to one without any, none moves
         split = moves.where("size(mids_a) = 0").select("a", F.explode("mids_p").alias("mid")).groupBy("a").agg(F.count_distinct("mid").alias("n_mid")).where("n_mid > 1").select("a")
         moves = moves.where("size(mids_p) = 0").unionByName(moves.where("size(mids_p) > 0").join(split, "a", "left_anti"))
@@ -219,20 +223,26 @@ def resolve(spellings: DataFrame) -> DataFrame:
         moves = cut_lineage(moves.where("size(mids_p) = 0").unionByName(moves.where("size(mids_p) > 0").join(gone, "a", "left_anti")).select("p", "a"))
         if moves.isEmpty():
             break
-        for _ in range(3):  # a partner may have moved on itself
-            step = label.join(moves, label["now"] == moves["p"], "left")
-            label = step.select("ent", F.coalesce("a", "now").alias("now"), "anchored", "rank", "mids")
-        top = label.groupBy("now").agg(F.max("anchored").alias("anchored"), F.max("rank").alias("rank"), F.array_distinct(F.flatten(F.collect_set("mids"))).alias("mids"))
-        label = cut_lineage(label.select("ent", "now").join(top, "now").select("ent", "now", "anchored", "rank", "mids"))
+        on = moves.select(F.col("p").alias("a"), F.col("a").alias("b"))
+        moves = moves.join(on, "a", "left").select("p", F.coalesce("b", "a").alias("a"))  # a partner may have moved on itself
+        moves = cut_lineage(moves.join(on.select("a"), "a", "left_anti"))  # if that one has too, it waits for the next round
+        step = lambda rows, col: rows.join(moves.select(F.col("p").alias(col), F.col("a").alias("_to")), col, "left").withColumn(col, F.coalesce("_to", col)).drop("_to")
+        label = cut_lineage(step(label, "now"))
+        prof = cut_lineage(step(prof, "now").groupBy("now").agg(F.max("anchored").alias("anchored"), F.max("rank").alias("rank"), F.array_distinct(F.flatten(F.collect_set("mids"))).alias("mids")))
+        links = step(step(links, "p"), "a")
         # merged profiles enter the blocks again, with the spellings that they have only now
-        fresh = cut_lineage(_made_together(names, label, moves))
+        fresh = cut_lineage(_made_together(names, label, prof, moves))
         if not fresh.isEmpty():
             names = names.unionByName(fresh)
             new_looks, new_found = blocks(fresh)
+            more = candidates(names, _meet(new_looks, found.unionByName(new_found)).unionByName(_meet(looks, new_found)))
             looks, found = looks.unionByName(new_looks), found.unionByName(new_found)
-            more = candidates(names, _meet(new_looks, found).unionByName(_meet(looks, new_found)))
-            links = cut_lineage(links.unionByName(more).groupBy("ent_p", "ent_a").agg(F.min("cost").alias("cost"), F.max("near").alias("near")))
-    return marked.select("id", "ent").join(label.select("ent", "now"), "ent").groupBy("id").agg(F.min("now").alias("entity"))
+            at = lambda col: label.select(F.col("ent").alias(col), F.col("now").alias(f"{col}_now"))
+            links = links.unionByName(more.join(at("p"), "p").join(at("a"), "a").select(F.col("p_now").alias("p"), F.col("a_now").alias("a"), "cost", "near"))
+        links = cut_lineage(links.where("p <> a").groupBy("p", "a").agg(F.min("cost").alias("cost"), F.max("near").alias("near")))
+    of_id = marked.select("id", "ent", "h").join(label, "ent").groupBy("id").agg(F.min_by("now", F.struct("h", "ent")).alias("now"))
+    first = of_id.groupBy("now").agg(F.min("id").alias("entity"))
+    return of_id.join(first, "now").select("id", "entity")
 
 
 def entity_pairs(resolved: DataFrame) -> DataFrame:
