@@ -24,15 +24,31 @@ def _address_parts(segment: Column) -> Column:
     return F.when(F.regexp_count(segment, F.lit(EMAIL)) >= 2, clean).otherwise(F.array(segment))
 
 
+def literal_people(x: ColumnLike) -> Column:
+    """Records ``(person_id, name, email)`` of a cell that holds a list literal: dictionaries with these keys (``[{'person_id': 'p1', 'name': "A. O'Hara"}]``) or plain names.
+
+    Missing keys are empty; a plain name gets an id of its own. Null, blank and malformed cells and other values give no records.
+    """
+    text = F.regexp_replace(unwrap(x), r"(:\s*)None(\s*[,}])", "$1null$2")
+    options = {"allowBackslashEscapingAnyCharacter": "true"}
+    items = F.from_json(F.when(text.rlike(r"(?s)^\[.*\]$"), text), "array<string>", options)
+    keys = F.transform(items, lambda i: F.when(i.startswith("{"), F.from_json(i, "person_id string, name string, email string", options)))
+    own = lambda i: F.concat(F.lit("person_"), F.substring(F.sha1(F.trim(F.regexp_replace(F.lower(i), "[^a-z0-9]+", " "))), 1, 12))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    record = lambda i, k: F.struct(F.when(k.isNull(), own(i)).otherwise(blank(k["person_id"])).alias("person_id"), F.when(k.isNull(), i).otherwise(blank(k["name"])).alias("name"), blank(k["email"]).alias("email"))
+    known = F.filter(F.zip_with(items, keys, record), lambda r: (r["name"] != "") | (r["email"] != "") | (r["person_id"] != ""))
+    return F.coalesce(known, F.array().cast("array<struct<person_id:string,name:string,email:string>>"))
+
+
 def person_parts(x: ColumnLike, strict_and: bool = True) -> Column:
     """The cell cut at line ends, semicolons, bars, slashes, "and", addresses and commas between people.
 
     With ``strict_and`` the word "and" only separates between two or more blanks on either side, as in exports of tables.
-    A list literal (``['A B', 'C D']``) is read as its items.
+    A list literal (``['A B', 'C D']``, or of dictionaries, see ``literal_people``) is read as its items.
     """
     s = unwrap(x)
-    items = F.array_join(F.regexp_extract_all(s, F.lit(r"'([^']*)'|\"([^\"]*)\""), 0), ";")
-    s = F.when(s.rlike(r"^\[.*\]$"), F.regexp_replace(items, "['\"]", "")).otherwise(s)
+    items = F.array_join(F.transform(literal_people(x), lambda r: F.concat_ws(" ", r["name"], r["email"])), ";")
+    s = F.when(s.rlike(r"(?s)^\[.*\]$"), items).otherwise(s)
     s = F.regexp_replace(s, r"\r\n|\r|\n|\s*[|/]\s*", ";")
     s = F.regexp_replace(s, r"(?i)\s{2,}and\s{2,}" if strict_and else r"(?i)\s+and\s+", ";")
     pieces = F.filter(F.transform(F.split(squeeze(s), ";"), lambda p: F.trim(p)), lambda p: p != "")
@@ -62,4 +78,4 @@ def person_names(parts: ColumnLike) -> Column:
     return F.filter(F.transform(parts, clean_name), lambda n: n != "")
 
 
-__all__ = ["person_id", "person_names", "person_parts", "person_records"]
+__all__ = ["literal_people", "person_id", "person_names", "person_parts", "person_records"]

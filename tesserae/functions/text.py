@@ -108,6 +108,20 @@ def names_once(x: ColumnLike) -> Column:
     return F.transform(kept, lambda p: p["v"])
 
 
+def primary_program(code_cell: ColumnLike, name_cell: ColumnLike) -> tuple[Column, Column]:
+    """The main program of a record and where it comes from: ``element:<first code>``, else ``name:<label of the name cell>``, else ``missing_program``."""
+    first, name = F.get(codes(code_cell), F.lit(0)), F.nullif(label(name_cell), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("element:"), first), F.concat(F.lit("name:"), name), F.lit("missing_program"))
+    source = F.when(first.isNotNull(), "ProgramElementCode").when(name.isNotNull(), "ProgramNameFallback").otherwise("MissingProgram")
+    return key, source
+
+
+def history_program(code_cell: ColumnLike, name_cell: ColumnLike) -> Column:
+    """The main program as history features know it: ``element_<first code>``, else ``name_`` and the first 80 characters of the name's ``id_text``, else ``unknown_program``."""
+    first, name = F.get(codes(code_cell), F.lit(0)), F.nullif(id_text(name_cell), F.lit(""))
+    return F.coalesce(F.concat(F.lit("element_"), first), F.concat(F.lit("name_"), F.substring(name, 1, 80)), F.lit("unknown_program"))
+
+
 def label(x: ColumnLike) -> Column:
     """A label in lower snake case: ``Mixed-Methods `` becomes ``mixed_methods``."""
     s = F.regexp_replace(F.lower(F.trim(F.coalesce(as_col(x).cast("string"), F.lit("")))), r"[^a-z0-9]+", "_")

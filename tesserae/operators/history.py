@@ -49,17 +49,20 @@ def pair_history(edges: DataFrame, award: str, person: str, year: str, prefix: s
 
 
 def history_features(awards: DataFrame, team: DataFrame) -> DataFrame:
-    """One row per award with a year: what was known of its lead, team, institution and program before that year.
+    """One row per award with a year: what was known of its lead, team, institution, program, organisation, directorate and state before that year.
 
-    ``awards``: ``award_id, year, lead, institution, program`` (program: main code). ``team``: ``award_id, person`` distinct; awards without team have their
-    lead. Gives counts, distinct partners, years since first and last appearance, pair history of the team, cold-start flags and log copies of all
+    ``awards``: ``award_id, year, lead, institution, program`` (program: main code) and, as far as there are such columns, ``org, directorate, state, instrument``. ``team``: ``award_id, person`` distinct; awards without team have their
+    lead. Gives the award's own categories (``cat_``) and team (``m_``), counts, distinct partners, years with awards, years since first and last appearance, pair history of the team, seen-before and cold-start flags and log copies of all
     count-like columns. Awards without year get no row and are nobody's history.
     """
-    base = awards.where("year is not null")
+    more = [c for c in ("org", "directorate", "state", "instrument") if c not in awards.columns]
+    awards = awards.withColumns({c: F.lit(None).cast("string") for c in more})
+    base = awards.where("year is not null").withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("org", "directorate", "state", "instrument")})
     alone = base.join(team.select("award_id").distinct(), "award_id", "left_anti").where("trim(lead) <> ''").select("award_id", F.col("lead").alias("person"))
     team = team.select("award_id", "person").where("trim(person) <> ''").unionByName(alone).distinct()
-    dated = team.join(base.select("award_id", "year", "institution", "program"), "award_id")
-    out = base.select("award_id", "year", "lead", "institution", "program")
+    places = ["institution", "program", "org", "directorate", "state"]
+    dated = team.join(base.select("award_id", "year", *places), "award_id")
+    out = base.select("award_id", "year", "lead", *places, "instrument")
     size = team.groupBy("award_id").agg(F.count("*").alias("m_team_size"))
     out = out.join(size, "award_id", "left").na.fill(0, ["m_team_size"])
 
@@ -74,15 +77,18 @@ def history_features(awards: DataFrame, team: DataFrame) -> DataFrame:
     lead = person_facts.select(F.col("k").alias("lead"), "year", *[F.col(c).alias(f"l_{c}") for c in ("n_count", "n_first_year", "n_last_year", "n_mates", "n_insts", "n_progs")])
     out = out.join(lead, ["lead", "year"], "left")
     team_facts = dated.select("award_id", F.col("person").alias("k"), "year").join(person_facts, ["k", "year"], "left").groupBy("award_id").agg(*[F.collect_list(F.coalesce(c, F.lit(0)).cast("double")).alias(c) for c in ("n_count", "n_mates", "n_insts", "n_progs")])
-    team_facts = team_facts.select("award_id", *[e for c, n in (("n_count", "g_team_prior_awards"), ("n_mates", "g_team_prior_collaborators"), ("n_insts", "g_team_prior_institutions"), ("n_progs", "g_team_prior_programs")) for e in summarize_list(c, n)])
+    team_facts = team_facts.select("award_id", F.coalesce(F.aggregate("n_count", F.lit(0.0), lambda a, v: a + (v > 0).cast("double")) / F.nullif(F.size("n_count"), F.lit(0)), F.lit(0.0)).alias("g_team_seen_before_fraction"), *[e for c, n in (("n_count", "g_team_prior_awards"), ("n_mates", "g_team_prior_collaborators"), ("n_insts", "g_team_prior_institutions"), ("n_progs", "g_team_prior_programs")) for e in summarize_list(c, n)])
     out = out.join(team_facts, "award_id", "left")
 
-    for col, name, others in (("institution", "inst", ["person", "program"]), ("program", "prog", ["person", "institution"])):
+    blocks = (("institution", "inst", ["person", "program"]), ("program", "prog", ["person", "institution"]), ("org", "org", ["person", "institution"]), ("directorate", "dir", ["person", "institution"]), ("state", "state", ["person", "program"]))
+    for col, name, others in blocks:
         rows = base.select(F.col(col).alias("k"), "year")
         facts = prior_counts(rows, rows, ["k"], "year", f"{name}")
         for other in others:
             pairs = dated.select(F.col(col).alias("k"), F.col(other).alias("o"), "year")
             facts = facts.join(prior_distinct(pairs, rows, "k", "o", "year", f"{name}_{other}"), ["k", "year"], "left")
+        years = rows.select("k", F.col("year").alias("o"), "year")
+        facts = facts.join(prior_distinct(years, rows, "k", "o", "year", f"{name}_years"), ["k", "year"], "left")
         out = out.join(facts.withColumnRenamed("k", col), [col, "year"], "left")
     lp = base.select(F.concat_ws("|", "lead", "program").alias("k"), "year")
     out = out.withColumn("k", F.concat_ws("|", "lead", "program")).join(prior_counts(lp, lp, ["k"], "year", "lp"), ["k", "year"], "left").drop("k")
@@ -95,18 +101,34 @@ def history_features(awards: DataFrame, team: DataFrame) -> DataFrame:
         "g_lead_years_since_first": since("l_n_first_year"), "g_lead_years_since_last": since("l_n_last_year"), "g_lead_cold_start": (count("l_n_count") == 0).cast("int"),
         "g_inst_prior_awards": count("inst_count"), "g_inst_prior_people": count("inst_person"), "g_inst_prior_programs": count("inst_program"), "g_inst_years_since_first": since("inst_first_year"), "g_inst_years_since_last": since("inst_last_year"), "g_inst_cold_start": (count("inst_count") == 0).cast("int"),
         "g_prog_prior_awards": count("prog_count"), "g_prog_prior_people": count("prog_person"), "g_prog_prior_institutions": count("prog_institution"), "g_prog_years_since_first": since("prog_first_year"), "g_prog_years_since_last": since("prog_last_year"), "g_prog_cold_start": (count("prog_count") == 0).cast("int"),
-        "g_lead_program_prior_awards": count("lp_count"),
+        "g_lead_program_prior_awards": count("lp_count"), "g_inst_prior_years": count("inst_years"), "g_prog_prior_years": count("prog_years"),
+        **{f"g_{n}_prior_{w}": count(f"{n}_{c}") for n, cols in (("org", ("person", "institution")), ("dir", ("person", "institution")), ("state", ("person", "program"))) for w, c in zip(("awards", "people", cols[1] + "s", "years"), ("count", *cols, "years"))},
+        **{f"g_{n}_seen_before": (count(c) > 0).cast("int") for n, c in (("lead", "l_n_count"), ("inst", "inst_count"), ("prog", "prog_count"))},
+        "g_team_any_prior_pair": (count("g_pair_prior_awards_nonzero") > 0).cast("int"),
     }
     team_cols = [c for c in out.columns if c.startswith(("g_team_", "g_pair_"))]
-    wide = out.select("award_id", "year", F.col("m_team_size"), *[e.alias(n) for n, e in named.items()], *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in team_cols])
+    known = lambda c, other: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit(other))
+    own = {"cat_institution": known("institution", "unknown_institution"), "cat_program": known("program", "unknown_program"), "cat_org": known("org", "unknown"), "cat_directorate": known("directorate", "unknown"), "cat_state": known("state", "unknown_state"), "cat_instrument": known("instrument", "unknown")}
+    others = F.greatest(F.col("m_team_size") - 1, F.lit(0))
+    own |= {"m_start_year": F.col("year").cast("int"), "m_num_co_pis": others, "m_has_copi": (others > 0).cast("int"), "m_num_current_participants": F.col("m_team_size")}
+    wide = out.select("award_id", "year", F.col("m_team_size"), *[e.alias(n) for n, e in own.items()], *[e.alias(n) for n, e in named.items()], *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in team_cols])
     return add_log_copies(wide)
 
 
-def last_k_links(members: DataFrame, k_by_kind: dict[str, int]) -> DataFrame:
+def last_k_summary(members: DataFrame, k_by_kind: dict[str, int]) -> DataFrame:
+    """``(kind, n_groups, n_singletons, n_edges_added)``: groups of each kind, those of one row, and the links that are credited to the kind by ``last_k_links``."""
+    sizes = members.where(F.col("entity").isNotNull() & F.col("kind").isin(list(k_by_kind))).groupBy("kind", "entity").agg(F.count_distinct("idx").alias("n"))
+    groups = sizes.groupBy("kind").agg(F.count("*").alias("n_groups"), F.count_if(F.col("n") == 1).alias("n_singletons"))
+    added = last_k_links(members, k_by_kind).groupBy("kind").agg(F.count("*").alias("n_edges_added"))
+    return groups.join(added, "kind", "left").na.fill(0, ["n_edges_added"])
+
+
+def last_k_links(members: DataFrame, k_by_kind: dict[str, int], bidirectional: bool = False) -> DataFrame:
     """``(src, dst, kind)``: links from each of the up to k predecessors of a row in its group to the row.
 
     ``members``: ``kind, entity, idx, year``. Order inside a group is (year, idx), null years first; same-year predecessors count. ``k <= 0`` means all
     predecessors (quadratic by definition, for small groups). A link found by several kinds is credited to the first in the order of ``k_by_kind``.
+    With ``bidirectional`` every link stands in both directions.
     """
     parts = []
     for rank, (kind, k) in enumerate(k_by_kind.items()):
@@ -120,4 +142,6 @@ def last_k_links(members: DataFrame, k_by_kind: dict[str, int]) -> DataFrame:
             line = Window.partitionBy("entity").orderBy(F.col("year").asc_nulls_first(), "idx").rowsBetween(Window.unboundedPreceding, -1)
             linked = rows.select(F.collect_list("idx").over(line).alias("before"), F.col("idx").alias("dst")).select(F.explode("before").alias("src"), "dst")
         parts.append(linked.where("src <> dst").select("src", "dst", F.lit(rank).alias("_rank"), F.lit(kind).alias("kind")))
+    if bidirectional:
+        parts += [p.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "_rank", "kind") for p in parts]
     return reduce(DataFrame.unionByName, parts).groupBy("src", "dst").agg(F.min_by("kind", "_rank").alias("kind"))

@@ -71,15 +71,44 @@ def ranking_metrics(df: DataFrame, truth: str = "y_true", score: str = "score",
     return out.select("n", "n_pos", F.when(both, F.col("w") / (F.col("n_pos") * (F.col("n") - F.col("n_pos")))).alias("roc_auc"), F.when(F.col("n_pos") > 0, F.col("ap")).alias("average_precision"))
 
 
-def threshold_grid(df: DataFrame, score: str, grid: str = "quantiles_99") -> list[float]:
-    """Candidate thresholds in ascending order: ``quantiles_99``, ``quantiles_97``, ``linear_91``, ``linear_181`` or ``none``."""
+def infer_task(df: DataFrame, target: str, requested: str = "auto") -> str:
+    """``binary`` if the non-null values of ``target`` are at most two, else ``multiclass``; ``requested`` unless it is ``auto``."""
+    if requested != "auto":
+        return requested
+    return "binary" if len(df.where(F.col(target).isNotNull()).select(F.col(target).cast("string")).distinct().limit(3).collect()) <= 2 else "multiclass"
+
+
+def prepared_target(df: DataFrame, target: str, task: str, drop_unclear: bool = True, name: str = "y") -> DataFrame:
+    """``df`` with the number ``name`` of its target: text labels in lower snake case, with blanks, ``nan`` and ``none`` (and ``unclear``) as null.
+
+    Binary: numbers as they are, yes, true and 1 as 1, no, false and 0 as 0; where no value is one of these, two other classes in order as 0 and 1 (more raise). Multiclass: the place of the label in order, from 0.
+    """
+    if dict(df.dtypes)[target] in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") and task == "binary":
+        return df.withColumn(name, F.col(target).cast("double"))
+    text = F.regexp_replace(F.lower(F.trim(F.col(target).cast("string"))), r"[\s-]+", "_")
+    held = df.withColumn("_label", F.when(~text.isin("", "nan", "none", *(["unclear"] if drop_unclear else [])), text))
+    if task == "binary":
+        number = F.when(F.col("_label").isin("yes", "true", "1"), 1.0).when(F.col("_label").isin("no", "false", "0"), 0.0)
+        if held.agg(F.count(number)).first()[0]:
+            return held.withColumn(name, number).drop("_label")
+        if held.select("_label").where("_label is not null").distinct().limit(3).count() != 2:
+            raise ValueError(f"{target} can't be made binary")
+    index = label_index(held, "_label").select(F.col("label").alias("_label"), F.col("idx").cast("double").alias(name))  # classes are few
+    return held.join(index, "_label", "left").drop("_label")
+
+
+def threshold_grid(df: DataFrame, score: str, grid: str = "quantiles_99", accuracy: int | None = None) -> list[float]:
+    """Candidate thresholds in ascending order: ``quantiles_99``, ``quantiles_97``, ``linear_91``, ``linear_181`` or ``none``.
+
+    Exact quantiles hold every distinct score in one task; with ``accuracy`` (as of ``approx_percentile``) they come from a sketch instead.
+    """
     if grid == "none":
         return [0.5]
     if grid.startswith("linear"):
         n = int(grid.split("_")[1])
         return [0.05 + 0.9 * k / (n - 1) for k in range(n)]
     points = [k / 100 for k in (range(1, 100) if grid == "quantiles_99" else range(2, 99))]
-    values = df.where(F.col(score).isNotNull()).agg(F.percentile(score, points).alias("q")).first()["q"] or []
+    values = df.where(F.col(score).isNotNull()).agg((F.percentile(score, points) if accuracy is None else F.percentile_approx(score, points, accuracy)).alias("q")).first()["q"] or []
     return sorted(set(values) | (set() if grid == "quantiles_99" else {0.0, 0.5}))
 
 

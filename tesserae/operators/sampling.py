@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.lexicons import STRATUM_WEIGHTS
-from tesserae.operators.dedup import row_ids
+from tesserae.operators.dedup import keep_first, row_ids
 from tesserae.operators.skew import attach, bucketed_running, hex_order
 from tesserae.session import cut_lineage
 
@@ -87,16 +87,34 @@ def matched_background(pool: DataFrame, reference: DataFrame, keys: list[str], k
     return ranked.orderBy(first, "_d", key).limit(total).select(*pool.columns)
 
 
-def annotation_sample(df: DataFrame, key: str, cluster: str, stratum: str, total: int, forced: DataFrame | None = None, seed: int = 42, labels: list[str] = ()) -> DataFrame:
-    """A sample for annotation: forced clusters first, whole clusters per stratum by quota, then any clusters until ``total``; numbered in hashed order with empty label columns."""
-    df = cut_lineage(df)
-    picked = df.limit(0) if forced is None else cut_lineage(df.join(forced.select(cluster).distinct(), cluster, "left_semi"))
+#: What is sampled: single awards, whole clusters, or one award of each cluster.
+DUPLICATE_MODES = ("award", "cluster_expand", "cluster_representative")
+
+
+def annotation_sample(df: DataFrame, key: str, cluster: str, stratum: str, total: int, forced: DataFrame | None = None, seed: int = 42, labels: list[str] = (), mode: str = "cluster_expand", abstract: str | None = None, overrun: bool = False, parts: int = 1) -> DataFrame:
+    """A sample for annotation: forced clusters first, whole clusters per stratum by quota, then any clusters until ``total``; numbered in hashed order with empty label columns.
+
+    ``mode`` is one of ``DUPLICATE_MODES``: ``award`` samples every ``key`` for itself, ``cluster_representative`` the row with the least key of each cluster. With ``abstract`` (a 0/1 column) rows without one are left out.
+    No cluster is ever cut: one that would pass ``total`` is skipped. Forced clusters of more than ``total`` rows are sampled themselves, unless ``overrun`` lets all of them in.
+    """
+    if mode not in DUPLICATE_MODES:
+        raise ValueError(f"mode must be one of {', '.join(DUPLICATE_MODES)}")
+    pool = df if abstract is None else df.where(F.col(abstract) == 1)
+    unit = key if mode == "award" else cluster
+    if mode == "cluster_representative":
+        pool = keep_first(pool.where(F.col(cluster).isNotNull()), [cluster], [F.col(key)])
+    pool, picked = cut_lineage(pool), None
+    if forced is not None:
+        picked = cut_lineage(pool.join(forced.select(unit).distinct(), unit, "left_semi"))
+        if not overrun and picked.count() > total:
+            picked = cut_lineage(cluster_sample(picked, unit, total, cap=total, seed=seed, parts=parts))
+    picked = pool.limit(0) if picked is None else picked
     quota = make_quota(max(total - picked.count(), 0))
     for name, n in quota.items():
         if n:  # each step is written, so that the plan doesn't grow with the steps
-            picked = cut_lineage(picked.unionByName(cluster_sample(df.where(F.col(stratum) == name), cluster, n, seed=seed, exclude=picked)))
+            picked = cut_lineage(picked.unionByName(cluster_sample(pool.where(F.col(stratum) == name), unit, n, cap=n, seed=seed, exclude=picked, parts=parts)))
     lacking = total - picked.count()
     if lacking > 0:
-        picked = cut_lineage(picked.unionByName(cluster_sample(df, cluster, lacking, seed=seed, exclude=picked)))
-    out = row_ids(sample_n(picked, key, total, seed).withColumn("_o", hashed_order(key, seed)), ["_o", key], "ann_", 5, "annotation_id").drop("_o")
-    return out.withColumns({c: F.lit(None).cast("string") for c in labels})
+        picked = cut_lineage(picked.unionByName(cluster_sample(pool, unit, lacking, cap=lacking, seed=seed, exclude=picked, parts=parts)))
+    named = picked.withColumn("annotation_duplicate_mode", F.lit(mode)).withColumn("_o", hashed_order(key, seed))
+    return row_ids(named, ["_o", key], "ann_", 5, "annotation_id").drop("_o").withColumns({c: F.lit(None).cast("string") for c in labels})

@@ -18,15 +18,18 @@ from tesserae.functions.text import squeeze, word_count
 from tesserae.operators.reports import union_all
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with all columns as strings; quoted line ends are read, a byte order mark is dropped."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file with all columns as strings; a byte order mark is dropped.
+
+    With ``multi_line`` quoted line ends are read, which makes a file one task; without, large files are split.
+    """
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", False).csv(path)
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """A CSV file with the given schema, or with inferred types."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
@@ -108,9 +111,11 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Part files with headers; nested columns as JSON."""
-    flat(df).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, overwrite: bool = False, bom: bool = False) -> None:
+    """Part files with headers; nested columns as JSON. With ``bom`` every file begins with a byte order mark, as spreadsheets want it."""
+    rows = flat(df)
+    rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]) if bom else rows
+    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
