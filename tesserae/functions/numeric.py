@@ -75,7 +75,7 @@ def minmax(df: DataFrame, cols: list[str], default: float = 0.0) -> DataFrame:
     held = df.join(F.broadcast(ranges), F.lit(True), "left")  # one row
     for c in cols:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        held = held.withColumn(f"{c}_scaled", F.when(hi > lo, (F.coalesce(ok[c], F.lit(default)) - lo) / (hi - lo)).otherwise(0.0))
+        held = held.withColumn(f"{c}_scaled", F.when(ok[c].isNull(), default).when(hi > lo, (ok[c] - lo) / (hi - lo)).otherwise(0.0))
     return held.drop(*ranges.columns)
 
 

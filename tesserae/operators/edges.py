@@ -12,6 +12,7 @@ from tesserae.functions.numeric import minmax
 from tesserae.functions.people import person_parts
 from tesserae.functions.text import clean_name, codes, first_email, names_once, person_id, stable_id
 from tesserae.operators.order import dense_index, global_row_number
+from tesserae.operators.skew import attach
 from tesserae.session import cut_lineage
 
 
@@ -96,14 +97,14 @@ def project(entities: DataFrame, key: str, weights: dict[str, float] = ENTITY_WE
     rows = entities.where(F.col("kind").isin(list(weights))).select(key, "kind", "entity").distinct()
     drawn = None
     if cap is not None and spread:
-        sized = rows.join(rows.groupBy("kind", "entity").agg(F.count("*").alias("_n")), ["kind", "entity"])
+        sized = attach(rows, rows.groupBy("kind", "entity").agg(F.count("*").alias("_n")), ["kind", "entity"])
         large = (F.col("_n") > cap) & (F.col("_n") * (F.col("_n") - 1) / 2 > max_pairs)
         drawn = drawn_pairs(sized.where(large).drop("_n"), key, max_pairs, seed)
         rows = sized.where(~large).drop("_n")
     elif cap is not None:
         sizes = rows.groupBy("kind", "entity").agg(F.count("*").alias("_n"))
         keep = int((2 * max_pairs) ** 0.5)  # members that make max_pairs pairs
-        hashed = rows.join(sizes, ["kind", "entity"]).withColumn("_h", F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.col("kind"), F.col("entity"), F.lit(str(seed)))))
+        hashed = attach(rows, sizes, ["kind", "entity"]).withColumn("_h", F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.col("kind"), F.col("entity"), F.lit(str(seed)))))
         large = hashed.where(F.col("_n") > cap)
         # the smallest hashes are found without gathering the group: a hash bound that leaves a few times the wanted members
         bound = F.col("_n") * F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) < 4 * keep
@@ -188,10 +189,17 @@ def edge_summary(edges: DataFrame) -> DataFrame:
 
 
 def degree_stats(nodes: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
-    """Nodes, edges, mean, median and greatest degree and isolated nodes of an undirected graph ``pairs (a, b)``."""
+    """Nodes, edges, mean, median and greatest degree and isolated nodes of an undirected graph ``pairs (a, b)``. The median is taken from the number of nodes of each degree."""
     degree = pairs.select(F.col("a").alias(key)).unionAll(pairs.select("b")).groupBy(key).agg(F.count("*").alias("d"))
     all_ = nodes.select(key).distinct().join(degree, key, "left").na.fill(0, ["d"])
-    return all_.agg(F.count("*").alias("n_nodes"), (F.sum("d") / 2).cast("bigint").alias("n_edges"), F.avg("d").alias("mean_degree"), F.median("d").alias("median_degree"), F.max("d").alias("max_degree"), F.count_if(F.col("d") == 0).alias("n_isolated"))
+    whole = all_.agg(F.count("*").alias("n_nodes"), (F.sum("d") / 2).cast("bigint").alias("n_edges"), F.avg("d").alias("mean_degree"), F.max("d").alias("max_degree"), F.count_if(F.col("d") == 0).alias("n_isolated"))
+    # distinct degrees are few: at most the square root of twice the links
+    line = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    held = all_.groupBy("d").agg(F.count("*").alias("n")).withColumn("to", F.sum("n").over(line)).crossJoin(F.broadcast(whole.select(F.col("n_nodes").alias("_all"))))  # one row
+    middle = [F.min(F.when(F.col("to") >= F.expr(f"(_all + {k}) div 2"), F.col("d"))) for k in (1, 2)]
+    median = held.agg(((middle[0] + middle[1]) / 2).cast("double").alias("median_degree"))
+    out = whole.crossJoin(F.broadcast(median))  # one row each
+    return out.select("n_nodes", "n_edges", "mean_degree", "median_degree", "max_degree", "n_isolated")
 
 
 def entity_features(edges: DataFrame, entity: str, award: str, year: str) -> DataFrame:

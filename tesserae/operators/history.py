@@ -13,8 +13,8 @@ from tesserae.operators.order import global_row_number
 from tesserae.session import cut_lineage
 
 
-def prior_counts(events: DataFrame, targets: DataFrame, keys: list[str], year: str = "year", name: str = "prior") -> DataFrame:
-    """``targets (keys, year)`` with events of the key in earlier years: ``<name>_count``, ``_first_year``, ``_last_year``.
+def prior_counts(events: DataFrame, targets: DataFrame, keys: list[str], year: str = "year", name: str = "prior", years: bool = False) -> DataFrame:
+    """``targets (keys, year)`` with events of the key in earlier years: ``<name>_count``, ``_first_year``, ``_last_year``, and with ``years`` ``_years``, the number of these years.
 
     Events are first reduced to one row per key and year, so the window of a key holds as many rows as there are years, whatever its number of events.
     Targets are distinct (key, year) rows; null keys and years have no history.
@@ -25,7 +25,7 @@ def prior_counts(events: DataFrame, targets: DataFrame, keys: list[str], year: s
     both = yearly.join(probes.withColumn("_probe", F.lit(1)), [*keys, year], "full_outer")
     before = Window.partitionBy(*keys).orderBy(year).rangeBetween(Window.unboundedPreceding, -1)
     seen = F.when(F.col("_n").isNotNull(), F.col(year))
-    out = both.select(*keys, year, "_probe", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"{name}_count"), F.min(seen).over(before).alias(f"{name}_first_year"), F.max(seen).over(before).alias(f"{name}_last_year"))
+    out = both.select(*keys, year, "_probe", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"{name}_count"), F.min(seen).over(before).alias(f"{name}_first_year"), F.max(seen).over(before).alias(f"{name}_last_year"), *([F.count(seen).over(before).alias(f"{name}_years")] if years else []))
     return out.where("_probe = 1").drop("_probe")
 
 
@@ -82,19 +82,19 @@ def history_features(awards: DataFrame, team: DataFrame) -> DataFrame:
 
     blocks = (("institution", "inst", ["person", "program"]), ("program", "prog", ["person", "institution"]), ("org", "org", ["person", "institution"]), ("directorate", "dir", ["person", "institution"]), ("state", "state", ["person", "program"]))
     for col, name, others in blocks:
+        if col in more:
+            continue
         rows = base.select(F.col(col).alias("k"), "year")
-        facts = prior_counts(rows, rows, ["k"], "year", f"{name}")
+        facts = prior_counts(rows, rows, ["k"], "year", f"{name}", years=True)
         for other in others:
             pairs = dated.select(F.col(col).alias("k"), F.col(other).alias("o"), "year")
             facts = facts.join(prior_distinct(pairs, rows, "k", "o", "year", f"{name}_{other}"), ["k", "year"], "left")
-        years = rows.select("k", F.col("year").alias("o"), "year")
-        facts = facts.join(prior_distinct(years, rows, "k", "o", "year", f"{name}_years"), ["k", "year"], "left")
         out = out.join(facts.withColumnRenamed("k", col), [col, "year"], "left")
     lp = base.select(F.concat_ws("|", "lead", "program").alias("k"), "year")
     out = out.withColumn("k", F.concat_ws("|", "lead", "program")).join(prior_counts(lp, lp, ["k"], "year", "lp"), ["k", "year"], "left").drop("k")
     out = out.join(pair_history(dated, "award_id", "person", "year", "g_pair_prior_awards"), "award_id", "left")
 
-    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0).cast("bigint")
     since = lambda c: years_since("year", c)
     named = {
         "g_lead_prior_awards": count("l_n_count"), "g_lead_prior_collaborators": count("l_n_mates"), "g_lead_prior_institutions": count("l_n_insts"), "g_lead_prior_programs": count("l_n_progs"),

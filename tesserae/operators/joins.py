@@ -152,8 +152,12 @@ def numeric_like(df: DataFrame, cols: list[str], share: float = 0.95) -> list[st
     return [c for k, c in enumerate(cols) if row[k] is not None and row[k] > share]
 
 
+def missing_columns(df: DataFrame, needed: list[str]) -> list[str]:
+    return [c for c in needed if c not in df.columns]
+
+
 def require_columns(df: DataFrame, needed: list[str], what: str = "table") -> DataFrame:
-    missing = [c for c in needed if c not in df.columns]
+    missing = missing_columns(df, needed)
     if missing:
         raise ValueError(f"{what} lacks columns: {', '.join(missing)}")
     return df

@@ -85,17 +85,18 @@ def _entities(t):
 _ENTITIES = f"(select distinct award, kind, entity from (select award, 'person' as kind, unnest(list_append(other, lead)) as entity from {_FACTS} union all select award, 'institution', institution from {_FACTS} union all select award, 'program', unnest(program) from {_FACTS} union all select award, 'org', org from {_FACTS} union all select award, 'state', state from {_FACTS}) where trim(entity) <> '')"
 
 
-@query(f"select a.award as a, b.award as b, sum(case a.kind when 'person' then 3.0 when 'state' then 0.25 when 'org' then 0.5 else 1.0 end)::double as weight, count(*) as n_shared from {_ENTITIES} a join {_ENTITIES} b on a.kind = b.kind and a.entity = b.entity and a.award < b.award group by 1, 2")
-def award_projection(t):
-    return edges.project(_entities(t), "award", ENTITY_WEIGHTS, cap=None)
-
-
 @query(f"""with e as (select *, count(*) over (partition by kind, entity) as n, row_number() over (partition by kind, entity order by sha1(award || '|' || kind || '|' || entity || '|42'), award) as r from {_ENTITIES}), k as (select * from e where n <= 30 or r <= 20)
     select a.award as a, b.award as b, sum(case a.kind when 'person' then 3.0 when 'state' then 0.25 when 'org' then 0.5 else 1.0 end)::double as weight, count(*) as n_shared from k a join k b on a.kind = b.kind and a.entity = b.entity and a.award < b.award group by 1, 2""")
 def projection_capped(t):
     return edges.project(_entities(t), "award", ENTITY_WEIGHTS, cap=30, max_pairs=200)
 
 
+@query(f"""with e as (select *, count(*) over (partition by kind, entity) as n, row_number() over (partition by kind, entity order by sha1(award || '|' || kind || '|' || entity || '|42'), award) as r from {_ENTITIES}), k as (select * from e where n <= 250 or r <= 100)
+    select a.award as a, b.award as b, sum(case a.kind when 'person' then 3.0 when 'state' then 0.25 when 'org' then 0.5 else 1.0 end)::double as weight, count(*) as n_shared from k a join k b on a.kind = b.kind and a.entity = b.entity and a.award < b.award group by 1, 2""")
+def award_projection(t):
+    return edges.project(_entities(t), "award", ENTITY_WEIGHTS)
+
+
 @query(f"select 'award' as src_type, award as src, kind as dst_type, entity as dst from {_ENTITIES} union select kind, entity, 'award', award from {_ENTITIES}")
 def bipartite_links(t):
     return edges.bipartite(_entities(t), "award")
@@ -158,11 +159,6 @@ def history_features(t):
     return _history(t).select(*cols, F.round("g_prog_prior_awards_log1p", 6).alias("g_prog_prior_awards_log1p"))
 
 
-@query()
-def history_features_full(t):
-    return _history(t)
-
-
 @query("""with m as (select distinct 'institution' as kind, institution_id as entity, record_id as idx, start_year as year from $awards where institution_id is not null union select distinct 'org', nsforganization, record_id, start_year from $awards where nsforganization is not null),
     l as (select kind, idx as dst, unnest(list(idx) over (partition by kind, entity order by year nulls first, idx rows between 5 preceding and 1 preceding)) as src, row_number() over (partition by kind, entity order by year nulls first, idx) as rn from m),
     k as (select kind, src, dst from (select l.*, 1 as x from l) where kind = 'institution' union all select kind, src, dst from (select kind, idx as dst, unnest(list(idx) over (partition by kind, entity order by year nulls first, idx rows between 2 preceding and 1 preceding)) as src from m) where kind = 'org')
@@ -185,16 +181,18 @@ def mean_messages(t):
 @query()
 def walks_metapath(t):
     links = edges.bipartite(_entities(t), "award")
-    return walks.metapath_walks(links, walks.parse_metapath("award-person-award"))
+    paths = [f"award-{kind}-award" for kind in ("person", "institution", "program", "org")]
+    parts = [walks.metapath_walks(links, walks.parse_metapath(p), n_walks=8, loops=10).withColumn("metapath", F.lit(p)) for p in paths]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query()
 def walks_node2vec(t):
     pairs = edges.project(_entities(t), "award", {"person": 3.0, "program": 1.0}, spread=True)
-    return walks.node2vec_walks(pairs, length=5, q=2.0, nodes=_facts(t).select("award"))
+    return walks.node2vec_walks(pairs, length=20, n_walks=8, q=2.0, nodes=_facts(t).select("award"))
 
 
 @query()
 def walk_vectors(t):
-    paths = walks.metapath_walks(edges.bipartite(_entities(t), "award"), ["award", "institution", "award"])
-    return walks.walk_vectors(paths, dim=16)
+    paths = walks.metapath_walks(edges.bipartite(_entities(t), "award"), ["award", "institution", "award"], n_walks=8, loops=10)
+    return walks.walk_vectors(paths)

@@ -89,7 +89,7 @@ def label_encoding(t):
 @query()
 def lr_scores(t):
     rows = t.benchmark.withColumn("split", F.lower(F.trim("split_random_cluster_stratified"))).withColumn("x", F.concat_ws(" ", "title_clean", "abstract_clean"))
-    model, labels = models.text_classifier(rows.where("split = 'train' and label_mmr_class is not null").select("x", "label_mmr_class"), "x", "label_mmr_class", 1 << 14)
+    model, labels = models.text_classifier(rows.where("split = 'train' and label_mmr_class is not null").select("x", "label_mmr_class"), "x", "label_mmr_class")
     return models.classify(model, rows.where("split = 'test'").select("benchmark_id", "x", "label_mmr_class"), "x", labels).select("benchmark_id", F.col("label_mmr_class").alias("y_true"), "y_pred")
 
 

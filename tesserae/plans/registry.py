@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tesserae.plans import graph_queries, model_queries, report_queries, split_queries, text_queries  # noqa: F401
+    from tesserae.plans import feature_queries, graph_queries, model_queries, report_queries, source_queries, split_queries, text_queries  # noqa: F401
 
 
 load()

@@ -157,7 +157,11 @@ def match_report(t):
     return reports.match_report(t.awards, t.documents, "award_id")
 
 
-@query()
+_ALL = sorted("award_id awardinstrument abstract_clean benchmark_id benchmark_version cluster_size label_design_present label_integration_present label_mmr_class label_qual_signal label_quant_signal label_reporting_completeness label_source nsfdirectorate nsforganization organization_clean person_id pi_clean primary_program_key project_cluster_id split_cold_start_institution_cluster_safe split_cold_start_pi_cluster_safe split_cross_program_cluster_safe split_edu_to_eng_cluster_safe split_random_cluster_stratified split_temporal_cluster_safe start_year state target_mmr_binary title_clean".split())
+_ROW_TEXT = " || '|' || ".join(f"coalesce({c}::varchar, '∅')" for c in _ALL)
+
+
+@query(f"select count(*) as n_rows, sum(('0x' || left(d, 12))::bigint)::decimal(38, 0)::varchar || ':' || sum(('0x' || substr(d, 13, 12))::bigint)::decimal(38, 0)::varchar as digest from (select sha256({_ROW_TEXT}) as d from $benchmark)")
 def table_digest(t):
     return reports.table_digest(t.benchmark)
 

@@ -25,6 +25,17 @@ def make_session(master: str = "local[*]", app: str = "tesserae", **conf: str) -
     return builder.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable folder of the session, set if it isn't yet (see ``cut_lineage``)."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesserae-"))
+    return context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there.
 
@@ -32,9 +43,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     a temporary folder is used; on a cluster it is an error. Checkpoints that nothing refers to any more are removed if the session
     was made with ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``make_session`` does.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not (context.master or "").startswith("local") and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

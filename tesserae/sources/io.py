@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -16,10 +17,20 @@ from pyspark.sql import functions as F
 from tesserae.functions.numeric import parse_date
 from tesserae.functions.text import squeeze, word_count
 from tesserae.operators.reports import union_all
+from tesserae.session import checkpoint_folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder beside the checkpoints, which all executors share, for what is written and read again; not made yet."""
+    base = re.sub(r"^file:(//)?", "", checkpoint_folder(spark))
+    if re.match(r"^\w+://", base):
+        raise ValueError(f"{base} is not a mounted folder")
+    os.makedirs(base, exist_ok=True)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def read_text_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV file with all columns as strings; a byte order mark is dropped.
+    """A CSV file with all columns as strings; empty cells are null, a byte order mark is dropped.
 
     With ``multi_line`` quoted line ends are read, which makes a file one task; without, large files are split.
     """
@@ -115,7 +126,7 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False, bom: bool = Fal
     """Part files with headers; nested columns as JSON. With ``bom`` every file begins with a byte order mark, as spreadsheets want it."""
     rows = flat(df)
     rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]) if bom else rows
-    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
+    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -160,8 +171,8 @@ def read_results(spark: SparkSession, folder: str, name: str = "metrics.csv", le
     return df.select(*columns, *[F.col(c) for c in df.columns if c not in levels])
 
 
-def rollup_results(spark: SparkSession, folders: list[str], name: str = "metrics.csv") -> DataFrame:
-    return union_all([read_results(spark, f, name) for f in folders])
+def rollup_results(spark: SparkSession, folders: list[str], name: str = "metrics.csv", levels: list[str] = ("target", "split", "model")) -> DataFrame:
+    return union_all([read_results(spark, f, name, levels) for f in folders])
 
 
 def cached(path: str, make, spark: SparkSession) -> DataFrame:
