@@ -43,23 +43,23 @@ def add_cluster_size(df: DataFrame, cluster: str, member: str) -> DataFrame:
     return attach(df, sizes, [cluster]).withColumn("duplicate_text_cluster_flag", (F.col("cluster_size") > 1).cast("int"))
 
 
-def joined_sample(col: str | Column, limit: int, sep: str = "|") -> Column:
-    """The distinct non-blank values of a group in order, joined; after ``limit`` of them ``...``.
+def joined_sample(df: DataFrame, cluster: str, member: str, limit: int, name: str, sep: str = "|") -> DataFrame:
+    """``(cluster, name)``: the first ``limit`` distinct non-blank members of each cluster in order, joined; if there are more, ``...`` at the end.
 
-    Only the smallest ``limit + 1`` of each partial group are needed, but Spark has no bounded distinct collection, so the set of a group is held
-    in one row; use it on groups of bounded size (clusters), not on hot keys.
+    Only the first members of each cluster leave a partition and are put together, whatever its size.
     """
-    col = F.col(col) if isinstance(col, str) else col
-    values = F.array_sort(F.collect_set(F.when(F.trim(col.cast("string")) != "", col.cast("string"))))
-    return F.concat(F.array_join(F.slice(values, 1, limit), sep), F.when(F.size(values) > limit, F.lit(sep + "...")).otherwise(""))
+    text = F.col(member).cast("string")
+    members = df.select(cluster, text.alias("_m")).where(F.trim("_m") != "").distinct()
+    first = members.withColumn("_r", F.row_number().over(Window.partitionBy(cluster).orderBy("_m"))).where(F.col("_r") <= limit + 1)
+    held = first.groupBy(cluster).agg(F.array_sort(F.collect_list("_m")).alias("_v"))
+    return held.select(cluster, F.concat(F.array_join(F.slice("_v", 1, limit), sep), F.when(F.size("_v") > limit, F.lit(sep + "...")).otherwise("")).alias(name))
 
 
 def cluster_report(df: DataFrame, cluster: str, member: str, title: str, year: str, order: str, limit: int = 10) -> DataFrame:
     """Clusters of several members: members, rows, first title by ``order``, first and last year, joined member ids."""
-    report = df.groupBy(cluster).agg(
-        F.count_distinct(member).alias("n_members"), F.count("*").alias("n_rows"), F.min_by(title, order).alias("first_title"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), joined_sample(member, limit).alias("member_ids"),
-    )
-    return report.where("n_members > 1")
+    report = df.groupBy(cluster).agg(F.count_distinct(member).alias("n_members"), F.count("*").alias("n_rows"), F.min_by(title, order).alias("first_title"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    ids = joined_sample(df, cluster, member, limit, "member_ids")
+    return report.where("n_members > 1").join(ids, cluster, "left").withColumn("member_ids", F.coalesce("member_ids", F.lit("")))
 
 
 def representatives(df: DataFrame, cluster: str, year: str, key: str) -> DataFrame:

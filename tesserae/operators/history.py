@@ -139,8 +139,10 @@ def last_k_links(members: DataFrame, k_by_kind: dict[str, int], bidirectional: b
             ahead = placed.select("entity", F.col("idx").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda o: F.col("n") + o)).alias("n"))
             linked = ahead.join(placed.withColumnRenamed("idx", "dst"), ["entity", "n"]).select("src", "dst")
         else:
-            line = Window.partitionBy("entity").orderBy(F.col("year").asc_nulls_first(), "idx").rowsBetween(Window.unboundedPreceding, -1)
-            linked = rows.select(F.collect_list("idx").over(line).alias("before"), F.col("idx").alias("dst")).select(F.explode("before").alias("src"), "dst")
+            placed = cut_lineage(global_row_number(rows, ["entity", "year", "idx"], "n").select("entity", "idx", "n"))
+            spans = placed.groupBy("entity").agg(F.min("n").alias("low"))
+            behind = placed.join(spans, "entity").where("n > low").select("entity", F.col("idx").alias("dst"), F.explode(F.sequence("low", F.col("n") - 1)).alias("n"))
+            linked = behind.join(placed.withColumnRenamed("idx", "src"), ["entity", "n"]).select("src", "dst")
         parts.append(linked.where("src <> dst").select("src", "dst", F.lit(rank).alias("_rank"), F.lit(kind).alias("kind")))
     if bidirectional:
         parts += [p.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "_rank", "kind") for p in parts]

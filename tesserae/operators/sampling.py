@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,30 +50,29 @@ def quota_sample(df: DataFrame, key: str, stratum: str, quota: dict[str, int], s
     return held.where(near).withColumn("_r", rank).where("_r <= quota").drop("_r", "_n", "quota")
 
 
-def cluster_sample(df: DataFrame, cluster: str, target: int, cap: int | None = None, seed: int = 42, exclude: DataFrame | None = None, parts: int = 1) -> DataFrame:
-    """Rows of whole clusters in hashed order until ``target`` rows are reached; a cluster that would pass ``cap`` is skipped.
+def cluster_sample(df: DataFrame, cluster: str, target: int, cap: int | None = None, seed: int = 42, exclude: DataFrame | None = None) -> DataFrame:
+    """Rows of whole clusters in hashed order until ``target`` rows are reached; a cluster that would pass ``cap`` (unset: ``target``) is skipped.
 
-    Sizes are those of the cluster in all of ``df``. The fold runs over (cluster, size) rows; ``parts`` splits it, with the targets, into independent folds.
+    Sizes are those of the cluster in all of ``df``; null is no cluster. The clusters that fit one after the other are found by running sums, up to the first that doesn't fit; the rest, without what can't fit
+    any more, is gone through in the same way. No task ever holds or orders all clusters.
     """
     pool = df if exclude is None else df.join(exclude.select(cluster).distinct(), cluster, "left_anti")
-    sizes = pool.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"))
-    table = sizes.select(F.col(cluster).cast("string").alias("cluster"), "n", hashed_order(cluster, seed).alias("o"), F.pmod(F.xxhash64(cluster), F.lit(parts)).cast("int").alias("part"))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        part = int(frame["part"].iloc[0])
-        goal = target // parts + (part < target % parts)
-        most = goal if cap is None else max(goal, cap // parts)
-        taken, held = [], 0
-        for c, n in frame.sort_values(["o", "cluster"])[["cluster", "n"]].itertuples(index=False):
-            if held >= goal:
-                break
-            if held + n <= most:
-                taken.append(c)
-                held += int(n)
-        return pd.DataFrame({"cluster": pd.Series(taken, dtype="object")})
-
-    chosen = table.groupBy("part").applyInPandas(fold, "cluster string").select(F.col("cluster").alias("_c"))
-    return pool.withColumn("_c", F.col(cluster).cast("string")).join(chosen, "_c", "left_semi").select(*pool.columns)
+    most, held, taken = max(target, cap or target), 0, []
+    sizes = pool.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n")).withColumn("_d", hashed_order(cluster, seed))
+    left = cut_lineage(sizes.withColumn("_h", hex_order("_d")).withColumn("_g", F.lit(0)))
+    while held < target:
+        left = left.where(F.col("n") <= most - held)
+        line = cut_lineage(bucketed_running(left, "_g", "_h", "_d", F.col("n"), name="_to"))
+        wrong = line.where(F.col("_to") > most - held).agg(F.min("_to").alias("to")).first()["to"]
+        fits = line.where((F.col("_to") - F.col("n") < target - held) & (F.lit(True) if wrong is None else F.col("_to") < wrong))
+        got = fits.agg(F.sum("n").alias("n")).first()["n"] or 0
+        taken.append(fits.select(cluster))
+        held += got
+        if wrong is None:
+            break
+        left = line.where(F.col("_to") > wrong).drop("_to")
+    chosen = reduce(DataFrame.unionAll, taken) if taken else left.limit(0).select(cluster)
+    return pool.join(chosen.distinct(), cluster, "left_semi").select(*pool.columns)
 
 
 def matched_background(pool: DataFrame, reference: DataFrame, keys: list[str], key: str, total: int, seed: int = 42) -> DataFrame:
@@ -91,7 +91,7 @@ def matched_background(pool: DataFrame, reference: DataFrame, keys: list[str], k
 DUPLICATE_MODES = ("award", "cluster_expand", "cluster_representative")
 
 
-def annotation_sample(df: DataFrame, key: str, cluster: str, stratum: str, total: int, forced: DataFrame | None = None, seed: int = 42, labels: list[str] = (), mode: str = "cluster_expand", abstract: str | None = None, overrun: bool = False, parts: int = 1) -> DataFrame:
+def annotation_sample(df: DataFrame, key: str, cluster: str, stratum: str, total: int, forced: DataFrame | None = None, seed: int = 42, labels: list[str] = (), mode: str = "cluster_expand", abstract: str | None = None, overrun: bool = False) -> DataFrame:
     """A sample for annotation: forced clusters first, whole clusters per stratum by quota, then any clusters until ``total``; numbered in hashed order with empty label columns.
 
     ``mode`` is one of ``DUPLICATE_MODES``: ``award`` samples every ``key`` for itself, ``cluster_representative`` the row with the least key of each cluster. With ``abstract`` (a 0/1 column) rows without one are left out.
@@ -107,14 +107,14 @@ def annotation_sample(df: DataFrame, key: str, cluster: str, stratum: str, total
     if forced is not None:
         picked = cut_lineage(pool.join(forced.select(unit).distinct(), unit, "left_semi"))
         if not overrun and picked.count() > total:
-            picked = cut_lineage(cluster_sample(picked, unit, total, cap=total, seed=seed, parts=parts))
+            picked = cut_lineage(cluster_sample(picked, unit, total, cap=total, seed=seed))
     picked = pool.limit(0) if picked is None else picked
     quota = make_quota(max(total - picked.count(), 0))
     for name, n in quota.items():
         if n:  # each step is written, so that the plan doesn't grow with the steps
-            picked = cut_lineage(picked.unionByName(cluster_sample(pool.where(F.col(stratum) == name), unit, n, cap=n, seed=seed, exclude=picked, parts=parts)))
+            picked = cut_lineage(picked.unionByName(cluster_sample(pool.where(F.col(stratum) == name), unit, n, cap=n, seed=seed, exclude=picked)))
     lacking = total - picked.count()
     if lacking > 0:
-        picked = cut_lineage(picked.unionByName(cluster_sample(pool, unit, lacking, cap=lacking, seed=seed, exclude=picked, parts=parts)))
+        picked = cut_lineage(picked.unionByName(cluster_sample(pool, unit, lacking, cap=lacking, seed=seed, exclude=picked)))
     named = picked.withColumn("annotation_duplicate_mode", F.lit(mode)).withColumn("_o", hashed_order(key, seed))
     return row_ids(named, ["_o", key], "ann_", 5, "annotation_id").drop("_o").withColumns({c: F.lit(None).cast("string") for c in labels})

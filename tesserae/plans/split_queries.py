@@ -39,7 +39,15 @@ def split_component(t):
     return splitting.component_split(t.benchmark, "project_cluster_id", "primary_program_key").select("benchmark_id", "split")
 
 
-@query()
+# the fold over the clusters of a stratum, one by one, as a recursion
+_DEALT = f"""b as (select benchmark_id, project_cluster_id as c, coalesce(label_mmr_class, 'unknown') as stratum from $benchmark), cnt as (select c, stratum, count(*) as n from b group by 1, 2), mode as (select c, arg_min(stratum, {{'n': -n, 's': stratum}}) as stratum from cnt group by 1),
+    z as (select c, count(*) as n from b group by 1), t as materialized (select z.c, z.n, m.stratum, row_number() over (partition by m.stratum order by sha1('42|' || z.c) nulls last, z.c) as k, count(*) over (partition by m.stratum) as clusters, (sum(z.n) over (partition by m.stratum))::double as total from z join mode m on m.c is not distinct from z.c),
+    f as (select stratum, 0::bigint as k, 0::double as a, 0::double as v, 0::double as e, '' as pick from t group by 1 union all
+        select stratum, k, a + (p = 'train')::int * n, v + (p = 'validation')::int * n, e + (p = 'test')::int * n, p from (select t.stratum, t.k, t.n, f.a, f.v, f.e,
+            list_sort([{{'lack': -(0.7::double * total - a), 'held': a, 'no': 0, 'name': 'train'}}, {{'lack': -(0.15::double * total - v), 'held': v, 'no': 1, 'name': 'validation'}}, {{'lack': -(0.15::double * total - e), 'held': e, 'no': 2, 'name': 'test'}}])[1].name as p from f join t on t.stratum = f.stratum and t.k = f.k + 1))"""
+
+
+@query(f"with recursive {_DEALT} select b.benchmark_id, b.stratum, case when t.clusters >= 3 then f.pick else {s.split_of(s.bucket("'split:' || t.c"))} end as split from b join t on t.c is not distinct from b.c join f on f.stratum = t.stratum and f.k = t.k")
 def split_greedy(t):
     rows = t.benchmark.withColumn("stratum", F.coalesce("label_mmr_class", F.lit("unknown")))
     return splitting.greedy_split(rows, "project_cluster_id", "stratum").select("benchmark_id", "stratum", "split")
@@ -83,7 +91,9 @@ def sample_quota(t):
     return sampling.quota_sample(t.flagged.select("record_id", "candidate_stratum"), "record_id", "candidate_stratum", sampling.make_quota(300)).select("record_id", "candidate_stratum")
 
 
-@query()
+@query("""with recursive o as materialized (select project_text_id as c, count(*) as n, row_number() over (order by sha1(project_text_id || '|42'), project_text_id) as k from $awards where project_text_id is not null group by 1),
+    f as (select 0::bigint as k, 0::bigint as held, '' as c, false as took union all select o.k, f.held + (f.held < 100 and f.held + o.n <= 120)::int * o.n, o.c, f.held < 100 and f.held + o.n <= 120 from f join o on o.k = f.k + 1)
+    select a.record_id, a.project_text_id from $awards a join f on f.c = a.project_text_id and f.took""")
 def cluster_sample(t):
     return sampling.cluster_sample(t.awards.select("record_id", "project_text_id"), "project_text_id", 100, cap=120)
 
