@@ -78,7 +78,7 @@ def test_vectors_and_lists(spark):
     total, *_ = numeric.summarize_list("x", "p")
     assert values(spark, total, [None, [], [1.0, None, 2.0]], "array<double>") == [0.0, 0.0, 3.0]
     df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "v double")
-    assert [r["v_scaled"] for r in numeric.minmax(df, ["v"], 1.0).collect()] == [0.0, 0.0, 1.0, 0.0]
+    assert [r["v_scaled"] for r in numeric.minmax(df, ["v"], 1.0).collect()] == [0.0, 1.0, 1.0, 1.0]  # what isn't a finite number is the default, unscaled
 
 
 def test_components_of_chain_star_and_hub(spark):
