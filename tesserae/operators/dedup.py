@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.skew import attach
+from tesserae.session import cut_lineage
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -57,6 +58,7 @@ def joined_sample(df: DataFrame, cluster: str, member: str, limit: int, name: st
 
 def cluster_report(df: DataFrame, cluster: str, member: str, title: str, year: str, order: str, limit: int = 10) -> DataFrame:
     """Clusters of several members: members, rows, first title by ``order``, first and last year, joined member ids."""
+    df = cut_lineage(df.select(*dict.fromkeys([cluster, member, title, year, order])))  # read twice, and much smaller than the texts it is made of
     report = df.groupBy(cluster).agg(F.count_distinct(member).alias("n_members"), F.count("*").alias("n_rows"), F.min_by(title, order).alias("first_title"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
     ids = joined_sample(df, cluster, member, limit, "member_ids")
     return report.where("n_members > 1").join(ids, cluster, "left").withColumn("member_ids", F.coalesce("member_ids", F.lit("")))

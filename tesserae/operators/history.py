@@ -20,11 +20,11 @@ def prior_counts(events: DataFrame, targets: DataFrame, keys: list[str], year: s
     Targets are distinct (key, year) rows; null keys and years have no history.
     """
     known = events.where(" and ".join(f"{c} is not null" for c in [*keys, year]))
-    yearly = known.groupBy(*keys, year).agg(F.count("*").alias("_n"))
-    probes = targets.select(*keys, year).distinct()
-    both = yearly.join(probes.withColumn("_probe", F.lit(1)), [*keys, year], "full_outer")
+    # events and targets are counted together, so that neither is joined to the other
+    rows = known.select(*keys, year, F.lit(1).cast("bigint").alias("_n"), F.lit(0).alias("_probe")).unionAll(targets.select(*keys, year, F.lit(0).cast("bigint"), F.lit(1)))
+    both = rows.groupBy(*keys, year).agg(F.sum("_n").alias("_n"), F.max("_probe").alias("_probe"))
     before = Window.partitionBy(*keys).orderBy(year).rangeBetween(Window.unboundedPreceding, -1)
-    seen = F.when(F.col("_n").isNotNull(), F.col(year))
+    seen = F.when(F.col("_n") > 0, F.col(year))
     out = both.select(*keys, year, "_probe", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"{name}_count"), F.min(seen).over(before).alias(f"{name}_first_year"), F.max(seen).over(before).alias(f"{name}_last_year"), *([F.count(seen).over(before).alias(f"{name}_years")] if years else []))
     return out.where("_probe = 1").drop("_probe")
 
