@@ -7,7 +7,8 @@ collinearly and the gaps between them aligned. A pair is near if more than ``SHA
 No fingerprint is left out for its frequency and no pair for its group. What makes frequent ones cheap is which of them are asked for: more than ``SHARE`` of a training
 text's words must be aligned, so at least one of any ``n - floor(SHARE n)`` of them. The words whose fingerprints are the rarest are taken, and only fingerprints that touch
 these are looked up among all those of the evaluation texts. So every pair is met of which more than ``SHARE`` of the longer text's words are aligned in runs of
-``K + WINDOW - 1`` words or more, and of the others all that have one rare run in common; short texts are also joined by single words. Where classes meet, an upper bound of their common words, from ``BITS`` hashed
+``K + WINDOW - 1`` words or more, and of the others those that have a run in common that touches the rarest words; short texts are also joined by single words. With ``k = window = 1`` runs of one word
+are enough, so that every near pair is met for certain, at a higher cost. Where classes meet, an upper bound of their common words, from ``BITS`` hashed
 bits a class, decides before a pair becomes a row. The classes of a fingerprint are dealt to squares of ``SIDE`` x ``SIDE``, so no task holds them all.
 """
 
@@ -332,26 +333,26 @@ def _directed(classes: DataFrame, near: DataFrame) -> DataFrame:
     return both.select(F.col("x").alias("train_cid"), F.col("y").alias("eval_cid"), (F.col("aligned") / F.col("ny")).alias("coverage")).unionAll(same)
 
 
-def overlapping_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str, share: float = SHARE) -> DataFrame:
+def overlapping_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str, share: float = SHARE, k: int = K, window: int = WINDOW) -> DataFrame:
     """``(id_1, id_2)`` with id_1 < id_2: all pairs of a training and an evaluation row whose texts are the same or nearly so.
 
     Null or wordless texts and rows without a known split or id are in no pair; repeated rows give one pair.
     """
     members, classes = text_classes(df, id_col, text_col, split_col)
-    links = _directed(classes, near_classes(classes, share)).select("train_cid", "eval_cid")
+    links = _directed(classes, near_classes(classes, share, k, window)).select("train_cid", "eval_cid")
     train = members.where("split = 'train'").select(F.col("cid").alias("train_cid"), F.col("id").alias("a"))
     rest = members.where("split <> 'train'").select(F.col("cid").alias("eval_cid"), F.col("id").alias("b"))
     pairs = links.join(train, "train_cid").join(rest, "eval_cid").where("a <> b")
     return pairs.select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2")).distinct()
 
 
-def overlapping_rows(df: DataFrame, id_col: str, text_col: str, split_col: str, share: float = SHARE) -> DataFrame:
+def overlapping_rows(df: DataFrame, id_col: str, text_col: str, split_col: str, share: float = SHARE, k: int = K, window: int = WINDOW) -> DataFrame:
     """``(id_col, split, class_id, n_links, coverage, exact)`` for each evaluation row with an overlap in training.
 
     ``n_links`` counts the distinct training texts, ``coverage`` is the greatest share of the row's words that one of them holds in order.
     """
     members, classes = text_classes(df, id_col, text_col, split_col)
-    links = _directed(classes, near_classes(classes, share))
+    links = _directed(classes, near_classes(classes, share, k, window))
     of_class = links.groupBy(F.col("eval_cid").alias("cid")).agg(F.count("*").alias("n_links"), F.max("coverage").alias("coverage"), F.max(F.col("train_cid") == F.col("eval_cid")).alias("exact"))
     rows = lookup(members.where("split <> 'train'"), of_class, "cid")
     return rows.select(F.col("id").alias(id_col), "split", F.col("cid").alias("class_id"), "n_links", "coverage", "exact")

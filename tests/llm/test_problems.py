@@ -270,6 +270,15 @@ def test_overlap_without_common_runs(spark):
     assert got == brute_pairs(rows) == {("a1", "a2"), ("b1", "b2"), ("c1", "c2"), ("c1", "d1")}
 
 
+def test_overlap_by_single_words_meets_every_near_pair(spark):
+    words = text(120, 9300).split()
+    rows = [("a1", " ".join(words), "train"), ("a2", " ".join(f"own{k}" if k % 3 == 2 else w for k, w in enumerate(words)), "test"), ("a3", " ".join(w for k, w in enumerate(words) if k % 3 != 1), "validation")]
+    rows += [(f"x{i:03d}", text(120, 9400 + i), ["train", "test"][i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "benchmark_id string, abstract_clean string, split string")
+    got = {tuple(x) for x in overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split", k=1, window=1).collect()}
+    assert got == brute_pairs(rows) and {("a1", "a2"), ("a1", "a3")} <= got
+
+
 def test_overlap_of_many_short_runs_and_boilerplate(spark):
     """30 + 30 texts of eight common runs of ten words with three own words after each, and boilerplate in 600 texts."""
     runs = [text(10, 8100 + k) for k in range(8)]
