@@ -42,33 +42,31 @@ def summary_metrics(counts: DataFrame) -> DataFrame:
     return right.join(F.broadcast(means), F.lit(True))  # one row each
 
 
-def _score_groups(df: DataFrame, truth: str, score: str) -> DataFrame:
-    return df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("bigint")).alias("pos"), F.count("*").alias("all"))
-
-
-def ranking_metrics(df: DataFrame, truth: str = "y_true", score: str = "score", buckets: int = 256) -> DataFrame:
-    """``(n, n_pos, roc_auc, average_precision)`` with tied scores as one group; null where only one class occurs.
+def ranking_metrics(df: DataFrame, truth: str = "y_true", score: str = "score", buckets: int = 256, by: list[str] = ()) -> DataFrame:
+    """``(*by, n, n_pos, roc_auc, average_precision)``, for each ``by`` (few), with tied scores as one group; null where only one class occurs.
 
     Distinct scores are cut into ``buckets`` equal ranges between the least and greatest; running sums are made inside a range and
     shifted by the sums of the higher ranges, so the curve is never ordered in one task.
     """
-    groups = _score_groups(df, truth, score)
-    span = groups.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    known = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    groups = known.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("bigint")).alias("pos"), F.count("*").alias("all"))
+    one = list(by) or F.lit(True)
+    span = groups.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    placed = groups.join(F.broadcast(span), F.lit(True)).withColumn("cell", cell)  # one row
-    sums = placed.groupBy("cell").agg(F.sum("pos").alias("cp"), F.sum("all").alias("ca"))
-    higher = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
-    whole = Window.partitionBy()
-    sums = sums.select("cell", F.coalesce(F.sum("cp").over(higher), F.lit(0)).alias("bp"), F.coalesce(F.sum("ca").over(higher), F.lit(0)).alias("ba"), F.sum("cp").over(whole).alias("P"), F.sum("ca").over(whole).alias("N"))
-    down = Window.partitionBy("cell").orderBy(F.desc("s"))
-    curve = placed.join(F.broadcast(sums), "cell").withColumn("tp", F.sum("pos").over(down) + F.col("bp")).withColumn("seen", F.sum("all").over(down) + F.col("ba"))
+    placed = groups.join(F.broadcast(span), one).withColumn("cell", cell)  # one row per `by`
+    sums = placed.groupBy(*by, "cell").agg(F.sum("pos").alias("cp"), F.sum("all").alias("ca"))
+    higher = Window.partitionBy(*by).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    whole = Window.partitionBy(*by)
+    sums = sums.select(*by, "cell", F.coalesce(F.sum("cp").over(higher), F.lit(0)).alias("bp"), F.coalesce(F.sum("ca").over(higher), F.lit(0)).alias("ba"), F.sum("cp").over(whole).alias("P"), F.sum("ca").over(whole).alias("N"))
+    down = Window.partitionBy(*by, "cell").orderBy(F.desc("s"))
+    curve = placed.join(F.broadcast(sums), [*by, "cell"]).withColumn("tp", F.sum("pos").over(down) + F.col("bp")).withColumn("seen", F.sum("all").over(down) + F.col("ba"))
     neg = F.col("all") - F.col("pos")
     # of each group: positives above it beat its negatives, half of those inside tie
     wins = F.sum(neg * (F.col("tp") - F.col("pos")) + neg * F.col("pos") / 2)
     ap = F.sum(F.col("pos") / F.col("P") * (F.col("tp") / F.col("seen")))
-    out = curve.agg(F.max("N").alias("n"), F.max("P").alias("n_pos"), wins.alias("w"), ap.alias("ap"))
+    out = curve.groupBy(*by).agg(F.max("N").alias("n"), F.max("P").alias("n_pos"), wins.alias("w"), ap.alias("ap"))
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
-    return out.select("n", "n_pos", F.when(both, F.col("w") / (F.col("n_pos") * (F.col("n") - F.col("n_pos")))).alias("roc_auc"), F.when(F.col("n_pos") > 0, F.col("ap")).alias("average_precision"))
+    return out.select(*by, "n", "n_pos", F.when(both, F.col("w") / (F.col("n_pos") * (F.col("n") - F.col("n_pos")))).alias("roc_auc"), F.when(F.col("n_pos") > 0, F.col("ap")).alias("average_precision"))
 
 
 def infer_task(df: DataFrame, target: str, requested: str = "auto") -> str:
@@ -140,9 +138,11 @@ def binary_metrics(df: DataFrame, truth: str = "y_true", pred: str = "y_pred", s
 
 
 def macro_ovr_auc(df: DataFrame, classes: list[str], truth: str = "y_true", scores: str = "scores") -> float | None:
-    """Mean one-versus-rest AUC of an array of class scores; None unless every class occurs."""
-    values = [ranking_metrics(df.select((F.col(truth) == c).cast("int").alias("y"), F.get(scores, F.lit(k)).alias("s")), "y", "s").first()["roc_auc"] for k, c in enumerate(classes)]
-    return sum(values) / len(values) if values and all(v is not None for v in values) else None
+    """Mean one-versus-rest AUC of an array of class scores; None unless every class occurs. All classes in one pass."""
+    one = F.array(*[F.struct(F.lit(c).alias("c"), (F.col(truth) == c).cast("int").alias("y"), F.get(scores, F.lit(k)).alias("s")) for k, c in enumerate(classes)])
+    rows = df.select(F.explode(one).alias("o")).select("o.*") if classes else None
+    values = [r["roc_auc"] for r in ranking_metrics(rows, "y", "s", by=["c"]).collect()] if classes else []  # one row per class
+    return sum(values) / len(values) if len(values) == len(classes) > 0 and all(v is not None for v in values) else None
 
 
 def align_scores(df: DataFrame, key: str, trained: list[str], classes: list[str], scores: str = "scores") -> DataFrame:

@@ -223,6 +223,15 @@ def binary_summary(t):
     return out.select("n", *[F.round(c, 6).alias(c) for c in out.columns if c != "n"])
 
 
+@query("""with o as (select l.c, (e.label = l.c)::int as y, e.embedding[l.c + 1]::double as s from embeddings e, (select distinct label as c from embeddings) l), a as (select p.c, avg(case when p.s > n.s then 1.0 when p.s = n.s then 0.5 else 0 end) as auc from o p, o n where p.c = n.c and p.y = 1 and n.y = 0 group by 1)
+    select round(avg(auc), 6) as macro_auc, count(*)::int as classes from a""")
+def macro_auc(t):
+    rows = t.embeddings.select(F.col("label").cast("string").alias("y_true"), F.col("embedding").cast("array<double>").alias("scores"))
+    classes = sorted((r["label"] for r in metrics.label_index(rows, "y_true").collect()), key=int)
+    value = metrics.macro_ovr_auc(rows, classes)
+    return _listed(t, [(round(value, 6) if value is not None else None, len(classes))], "macro_auc double, classes int")
+
+
 @query("select vec_id, round(embedding[2]::double, 5) as a, 0.0::double as b, round(embedding[1]::double, 5) as c from embeddings")
 def aligned_scores(t):
     out = metrics.align_scores(t.embeddings.select("vec_id", F.col("embedding").alias("scores")), "vec_id", ["c", "a"], ["a", "b", "c"])
