@@ -112,7 +112,8 @@ def annotation_sample(df: DataFrame, key: str, cluster: str, stratum: str, total
     quota = make_quota(max(total - picked.count(), 0))
     for name, n in quota.items():
         if n:  # each step is written, so that the plan doesn't grow with the steps
-            picked = cut_lineage(picked.unionByName(cluster_sample(pool.where(F.col(stratum) == name), unit, n, cap=n, seed=seed, exclude=picked)))
+            own = pool.join(pool.where(F.col(stratum) == name).select(unit).distinct(), unit, "left_semi")  # whole clusters, whatever the strata of their other rows
+            picked = cut_lineage(picked.unionByName(cluster_sample(own, unit, n, cap=n, seed=seed, exclude=picked)))
     lacking = total - picked.count()
     if lacking > 0:
         picked = cut_lineage(picked.unionByName(cluster_sample(pool, unit, lacking, cap=lacking, seed=seed, exclude=picked)))

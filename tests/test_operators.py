@@ -343,3 +343,45 @@ def test_pipelines(spark):
     assert bench["leakage"].where("split_column = 'split_random' and key = 'project_cluster_id' and n_crossing > 0").count() == 0
     features = pipelines.benchmark_to_features(out["awards"], out["person_edges"])
     assert features.count() == out["awards"].where("start_year is not null").count()
+
+
+def test_literal_people(spark):
+    cells = ["[{'person_id': 'p1', 'name': \"A. O'Hara\", 'email': 'a@x.org'}, {'name': 'Bo Dorn', 'email': None}]", "['Ann Bell', 'C Dorn']", "[]", "[broken", "no list", None, "", "[{'other': 1}]"]
+    got = values(spark, people.literal_people("x"), cells)
+    assert [tuple(r) for r in got[0]] == [("p1", "A. O'Hara", "a@x.org"), ("", "Bo Dorn", "")]
+    assert [r["name"] for r in got[1]] == ["Ann Bell", "C Dorn"] and all(r["person_id"].startswith("person_") for r in got[1])
+    assert got[2:] == [[], [], [], [], [], []]
+    assert values(spark, people.person_parts("x"), cells[:2]) == [["A. O'Hara a@x.org", "Bo Dorn"], ["Ann Bell", "C Dorn"]]
+
+
+def test_annotation_modes(spark):
+    rows = [(i, f"c{i // 5}", ["explicit_mmr", "random_background"][i % 2], int(i % 10 != 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, cluster string, stratum string, has_abstract int")
+    forced = df.where("id in (1, 7)")
+    for mode, most in (("award", 40), ("cluster_expand", 40), ("cluster_representative", 40)):
+        out = sampling.annotation_sample(df, "id", "cluster", "stratum", 40, forced, mode=mode, abstract="has_abstract").cache()
+        assert 0 < out.count() <= most and out.where("has_abstract = 0").count() == 0 and out.select("annotation_id").distinct().count() == out.count()
+        if mode == "cluster_expand":  # no cluster is cut
+            whole = df.where("has_abstract = 1").join(out.select("cluster").distinct(), "cluster", "left_semi")
+            assert whole.count() == out.count()
+        if mode == "cluster_representative":
+            assert out.groupBy("cluster").count().where("count > 1").count() == 0
+    few = sampling.annotation_sample(df, "id", "cluster", "stratum", 12, df, mode="cluster_expand")
+    assert few.count() <= 12 and few.groupBy("cluster").count().where("count <> 5").count() == 0
+    with pytest.raises(ValueError):
+        sampling.annotation_sample(df, "id", "cluster", "stratum", 12, mode="other")
+
+
+def test_targets_and_links_in_both_directions(spark):
+    df = spark.createDataFrame([("A b",), ("c",), (" ",), (None,), ("Unclear",)], "t string")
+    assert metrics.infer_task(df, "t") == "multiclass"
+    assert [r["y"] for r in metrics.prepared_target(df, "t", "binary").orderBy("t").collect()] == [None, None, 0.0, None, 1.0]
+    with pytest.raises(ValueError):
+        metrics.prepared_target(spark.createDataFrame([("a",), ("b",), ("c",)], "t string"), "t", "binary")
+    members = spark.createDataFrame([("x", "e", i, 2000 + i) for i in range(4)], "kind string, entity string, idx int, year int")
+    one = {(r["src"], r["dst"]) for r in history.last_k_links(members, {"x": 0}).collect()}
+    assert one == {(i, j) for i in range(4) for j in range(4) if i < j}
+    both = {(r["src"], r["dst"]) for r in history.last_k_links(members, {"x": 1}, bidirectional=True).collect()}
+    assert both == {(0, 1), (1, 2), (2, 3), (1, 0), (2, 1), (3, 2)}
+    summary = history.last_k_summary(members, {"x": 1}).first()
+    assert (summary["n_groups"], summary["n_singletons"], summary["n_edges_added"]) == (1, 0, 3)
