@@ -31,7 +31,10 @@ def class_weights(t):
 
 
 def _scored(t):
-    score = F.pmod(F.col("benchmark_id").substr(4, 9).cast("int") * 37, F.lit(50)) / 50.0
+    """Scored rows: the score is made from the nine digits after ``bm_``, as in the SQL, whatever their size; of an id of another form from its last digits, of one without digits from its hash."""
+    key = F.col("benchmark_id")
+    number = F.coalesce(key.substr(4, 9).try_cast("bigint"), F.regexp_extract(key, r"([0-9]{1,9})[^0-9]*$", 1).try_cast("bigint"), F.when(key.isNotNull(), F.xxhash64(key)))
+    score = F.pmod(F.pmod(number, F.lit(50)) * 37, F.lit(50)) / 50.0
     return t.benchmark.where("target_mmr_binary is not null").select(F.col("target_mmr_binary").alias("y_true"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("y_pred"))
 
 

@@ -209,6 +209,22 @@ def test_metrics_on_hard_cases(spark):
     assert metrics.align_scores(scores, "y_true", ["a", "b"], ["b", "z", "a"]).first()["scores"] == [0.3, 0.0, 0.7]
 
 
+def test_scores_of_ids_of_any_form(spark):
+    from types import SimpleNamespace
+
+    from tesserae.plans import registry  # noqa: F401  (imports the modules of queries in order)
+    from tesserae.plans import model_queries as q
+
+    # the third is beyond an int once multiplied; copies of a table may put something before or after the id
+    ids = ["bm_000000003", "bm_000024000", "bm_999999999", "7~bm_000000003", "bm_000000003~7", "bm_7_000000003", "bm_12000000003", "none"]
+    df = spark.createDataFrame([(x, k % 2) for k, x in enumerate(ids)], "benchmark_id string, target_mmr_binary int")
+    t = SimpleNamespace(benchmark=df)
+    got = [r["score"] for r in q._scored(t).collect()]
+    assert got[:7] == [0.22, 0.0, 0.26, 0.22, 0.22, 0.22, 0.0] and 0 <= got[7] < 1
+    assert metrics.ranking_metrics(q._scored(t)).first()["n"] == 8 and metrics.binary_metrics(q._scored(t), score="score").first()["n"] == 8
+    assert sum(r["n"] for r in q.confusion(t).collect()) == 8 and q.threshold_sweep(t).count() == 5
+
+
 def test_joins(spark):
     left = spark.createDataFrame([("1",), ("2",)], "k string")
     with pytest.raises(ValueError):
