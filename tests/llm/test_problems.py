@@ -299,6 +299,31 @@ def test_overlap_of_hot_copies_in_squares(spark, monkeypatch):
     assert got == brute_pairs(rows) and len(got) == 40 * 20
 
 
+def test_overlap_never_broadcasts_on_an_estimate(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(str(k), f"{text} {k}", ("train", "test")[k % 2]) for k in range(20)], "benchmark_id string, abstract_clean string, split string")
+    _, classes = overlap.text_classes(df, "benchmark_id", "abstract_clean", "split")
+    for rows in (overlap._grams(classes, 2), overlap.met_pairs(classes)):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_takes_up_large_batches_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, text = 4_000, list(range(150))
+    lists = pa.array([text] * n, pa.list_(pa.int32()))
+    seeds = pa.array([[{"p": k, "q": k} for k in range(30)]] * n, pa.list_(pa.struct([("p", pa.int32()), ("q", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())] * 2 + [lists, lists, seeds], ["x", "y", "wx", "wy", "s"])
+    tracemalloc.start()
+    got = [x for part in overlap._align(overlap.SHARE)(iter([batch])) for x in part.column(2).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [150] * n and peak < 30e6
+    assert [part.num_rows for part in overlap._slices(batch, batch.column(0).to_numpy() * 0 + 150, 1_000)][:2] == [6, 7] and not list(overlap._slices(batch.slice(0, 0), batch.column(0).to_numpy()[:0]))
+
+
 def test_overlap_of_empty_table(spark):
     df = spark.createDataFrame([], "benchmark_id string, abstract_clean string, split string")
     assert overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").count() == 0
