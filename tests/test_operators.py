@@ -255,6 +255,17 @@ def test_walks_follow_edges(spark):
             assert len(r["path"]) == 4 and all({x, y} in ({"a", "b"}, {"b", "c"}) for x, y in zip(r["path"], r["path"][1:]))
 
 
+def test_walks_are_written_between_steps_and_keep_odd_ids(spark):
+    there = spark.createDataFrame([("award", a, "person", p) for a, p in [("a, 1", "x+y"), ("ü%2C", "x+y"), ("a, 1", "z ")]], "src_type string, src string, dst_type string, dst string")
+    both = there.unionByName(there.selectExpr("dst_type as src_type", "dst as src", "src_type as dst_type", "src as dst"))
+    df = walks.metapath_walks(both, ["award", "person", "award"], n_walks=2, loops=4)
+    # no shuffle of a step is left to be made, and kept, with those of all other steps
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    paths = [r["path"] for r in df.collect()]
+    links = {(r["src"], r["dst"]) for r in both.collect()}
+    assert len(paths) == 4 and all(len(p) == 9 and set(zip(p, p[1:])) <= links for p in paths)
+
+
 def test_projection_without_cap_equals_brute_force(spark):
     rows = [(f"a{i}", "person" if j % 2 else "state", f"e{(i * j) % 5}") for i in range(12) for j in range(4)]
     df = spark.createDataFrame(rows, "award string, kind string, entity string")
