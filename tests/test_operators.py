@@ -266,6 +266,20 @@ def test_walks_are_written_between_steps_and_keep_odd_ids(spark):
     assert len(paths) == 4 and all(len(p) == 9 and set(zip(p, p[1:])) <= links for p in paths)
 
 
+def test_vectors_are_learned_in_parts_of_the_walks(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [([rng.choice("abcdef" if k % 2 else "uvwxyz") for _ in range(20)],) for k in range(600)]
+    df = spark.createDataFrame(rows, "path array<string>")
+    monkeypatch.setattr(walks, "PART_WORDS", 3_000)
+    made = []
+    monkeypatch.setattr(walks, "Word2Vec", lambda numPartitions=1, real=walks.Word2Vec, **k: made.append(numPartitions) or real(numPartitions=numPartitions, **k))
+    vec = {r["node"]: r["vec"] for r in walks.walk_vectors(df, dim=8).collect()}
+    assert made == [4] and len(vec) == 12
+    cos = lambda x, y: sum(p * q for p, q in zip(vec[x], vec[y])) / (sum(p * p for p in vec[x]) * sum(q * q for q in vec[y])) ** 0.5
+    # nodes of one walk are nearer to each other than to those of the others
+    assert min(cos("a", x) for x in "bcdef") > max(cos("a", x) for x in "uvwxyz")
+
+
 def test_projection_without_cap_equals_brute_force(spark):
     rows = [(f"a{i}", "person" if j % 2 else "state", f"e{(i * j) % 5}") for i in range(12) for j in range(4)]
     df = spark.createDataFrame(rows, "award string, kind string, entity string")
