@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.overlap import _ACCENTED
-from tesserae.session import cut_lineage
+from tesserae.session import cut_lineage, release
 
 #: Short forms of first names. Fixed values.
 SHORT_FORMS = {
@@ -201,8 +201,13 @@ def resolve(spellings: DataFrame) -> DataFrame:
     marked = cut_lineage(marked.join(heads.select("key", "ent"), "key").withColumn("h", F.xxhash64("key")).drop("key", "anchor", "n_mid"))
     names = marked.where("last <> '' and first <> ''").select("ent", "last", "first", "full", "mid", "town", "anchored").distinct()
     names = cut_lineage(names.withColumn("no", F.xxhash64(*NUMBERED)))
+    spark = names.sparkSession
+    del spellings, free
+    release(spark)
     looks, found = map(cut_lineage, blocks(names))
+    release(spark)
     links = cut_lineage(candidates(names, _meet(looks, found)))
+    release(spark)
     prof = heads.select(F.col("ent").alias("now"), F.col("best.anchored"), F.struct(F.col("best.anchored"), F.col("best.full"), "n", F.xxhash64("key").alias("h"), "ent").alias("rank"), "mids")
     label = heads.select("ent", F.col("ent").alias("now"))
     while True:
@@ -240,6 +245,7 @@ def resolve(spellings: DataFrame) -> DataFrame:
             at = lambda col: label.select(F.col("ent").alias(col), F.col("now").alias(f"{col}_now"))
             links = links.unionByName(more.join(at("p"), "p").join(at("a"), "a").select(F.col("p_now").alias("p"), F.col("a_now").alias("a"), "cost", "near"))
         links = cut_lineage(links.where("p <> a").groupBy("p", "a").agg(F.min("cost").alias("cost"), F.max("near").alias("near")))
+        release(spark)  # the files of the round
     of_id = marked.select("id", "ent", "h").join(label, "ent").groupBy("id").agg(F.min_by("now", F.struct("h", "ent")).alias("now"))
     first = of_id.groupBy("now").agg(F.min("id").alias("entity"))
     return of_id.join(first, "now").select("id", "entity")

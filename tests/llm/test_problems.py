@@ -395,6 +395,14 @@ def test_organisations_are_matched_by_name_and_city_is_evidence(spark):
     assert sorted(sorted(x) for x in found.values()) == [["a", "c"], ["b"], ["d", "e"], ["f", "g", "l"], ["h"], ["i"], ["j", "k"]]
 
 
+def test_rounds_of_merging_give_up_their_files(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(entities, "release", lambda spark, real=entities.release: calls.append(1) or real(spark))
+    df = spark.createDataFrame([("1", "John Smith", "john.smith@a.org"), ("2", "J. Smith", None), ("3", "Jon Smith", None)], "person_id string, pi_name string, pi_email string")
+    got = {r["id"]: r["entity"] for r in entities.resolve(entities.person_spellings(df)).collect()}
+    assert got["2"] == got["1"] == "1" and len(calls) >= 4  # before the rounds, and in each that merges
+
+
 def test_names_of_empty_tables(spark):
     assert entities.resolve(entities.person_spellings(spark.createDataFrame([], "person_id string, pi_name string, pi_email string"))).count() == 0
 
