@@ -518,6 +518,16 @@ def test_subjects_with_a_larger_table_of_vectors(spark):
         assert got.where("subject = truth").count() > 0.8 * got.count()
 
 
+def test_all_examples_and_documents_are_learned_from(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(subjects, "_synchronised", lambda rows, model, *_: held.append(rows) or model)
+    examples = spark.range(21_000).selectExpr("id as example_id", "'law' as subject", "concat('court ', id) as text")
+    docs = spark.range(9_000).selectExpr("id as doc_id", "concat('the court met. word', id) as text")
+    subjects.train(examples, docs, ["law"])
+    counts = {rows.count() for rows in (held[0], held[-1])}
+    assert counts == {21_000, 9_000} and max(r["count"] for r in held[0].groupBy("shard").count().collect()) < 1.2 * subjects.SHARD_ROWS
+
+
 def test_what_sentences_of_documents_teach():
     import numpy as np
 
