@@ -403,6 +403,23 @@ def test_rounds_of_merging_give_up_their_files(spark, monkeypatch):
     assert got["2"] == got["1"] == "1" and len(calls) >= 4  # before the rounds, and in each that merges
 
 
+def test_blocks_are_moved_to_their_keys_once(spark, monkeypatch):
+    rows = [("1", "Gwendolyn Ashworthy"), ("2", "GWENDOLYN ASHWORTHY"), ("3", "Gwendolyn Ashwurthy"), ("4", "Gwendolyns Ashworthy"), ("5", "Gwendolyns Ashwurthyy")]  # the last is met by spellings that others make together
+    df = spark.createDataFrame([(*x, None) for x in rows], "person_id string, pi_name string, pi_email string")
+    meets = []
+    monkeypatch.setattr(entities, "_meet", lambda looks, found, real=entities._meet: meets.append((looks, found)) or real(looks, found))
+    monkeypatch.setattr(entities, "SPELLINGS_A_PART", 1, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["entity"] for r in entities.resolve(entities.person_spellings(df)).collect()} == {"1"}
+        (looks, found), *later = meets
+        moved = lambda a, b: a.withColumnRenamed("no", "p").join(b, "key")._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        assert moved(looks, found) == 0
+        assert later and all(any(x is looks or x is found for x in sides) for sides in later[:2]) and [moved(*sides) for sides in later[:2]] == [1, 1]  # the new spellings only
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_names_of_empty_tables(spark):
     assert entities.resolve(entities.person_spellings(spark.createDataFrame([], "person_id string, pi_name string, pi_email string"))).count() == 0
 
