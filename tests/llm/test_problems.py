@@ -307,6 +307,40 @@ def test_overlap_never_broadcasts_on_an_estimate(spark):
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_overlap_in_batches_and_parts_writes_the_words_once(spark, monkeypatch):
+    import subprocess
+
+    from tesserae.session import checkpoint_folder
+
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(150)]
+    rows = []
+    for k, text in enumerate(texts * 4):
+        new = [w if rng.random() > 0.1 else f"x{rng.randrange(400)}" for w in text] if k % 3 else text
+        rows.append((f"r{k}", " ".join(new), ("train", "test", "validation")[k // 150 % 3]))
+    df = spark.createDataFrame(rows, "benchmark_id string, abstract_clean string, split string")
+    used = lambda: int(subprocess.run(["du", "-sb", checkpoint_folder(spark).removeprefix("file:")], capture_output=True).stdout.split()[0])
+    written = []
+
+    def sized(real):
+        def run(*args):
+            before = used()
+            out = real(*args)
+            written.append(used() - before)
+            return out
+
+        return run
+
+    monkeypatch.setattr(overlap, "cut_lineage", sized(overlap.cut_lineage))
+    if hasattr(overlap, "cut_by_key"):
+        monkeypatch.setattr(overlap, "cut_by_key", sized(overlap.cut_by_key))
+    whole = sorted(map(tuple, overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").collect()))
+    assert len(whole) > 400 and sum(x for x in written if x > 0) < 24 * 60 * 600
+    for name, value in (("BATCH_WORDS", 1_000), ("PART_BYTES", 50_000), ("SIDE", 2), ("SEEN", 5)):
+        monkeypatch.setattr(overlap, name, value)
+    assert sorted(map(tuple, overlap.overlapping_pairs(df, "benchmark_id", "abstract_clean", "split").collect())) == whole
+
+
 def test_overlap_takes_up_large_batches_in_slices():
     import tracemalloc
 
