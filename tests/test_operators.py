@@ -266,6 +266,17 @@ def test_walks_are_written_between_steps_and_keep_odd_ids(spark):
     assert len(paths) == 4 and all(len(p) == 9 and set(zip(p, p[1:])) <= links for p in paths)
 
 
+def test_numbered_walks_are_the_same_in_four_bytes_a_node(spark):
+    there = [("award", f"a{i}", "person", f"p{i * j % 5}") for i in range(30) for j in range(3)] + [("award", "p1", "person", "p1"), ("award", "lone", "state", "s")]
+    there = spark.createDataFrame(there, "src_type string, src string, dst_type string, dst string")
+    both = there.unionByName(there.selectExpr("dst_type as src_type", "dst as src", "src_type as dst_type", "src as dst"))
+    paths, nodes = walks.numbered_walks(both, ["award", "person", "award"], n_walks=3, loops=4)
+    assert dict(paths.dtypes) == {"path": "array<int>"} and "Exchange" not in paths._jdf.queryExecution().executedPlan().toString()
+    name = {r["no"]: r["node"] for r in nodes.collect()}
+    same = walks.metapath_walks(both, ["award", "person", "award"], n_walks=3, loops=4)
+    assert sorted([name[x] for x in r["path"]] for r in paths.collect()) == sorted(r["path"] for r in same.collect())
+
+
 def test_vectors_are_learned_in_parts_of_the_walks(spark, monkeypatch):
     rng = random.Random(1)
     rows = [([rng.choice("abcdef" if k % 2 else "uvwxyz") for _ in range(20)],) for k in range(600)]
