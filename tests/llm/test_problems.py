@@ -592,6 +592,24 @@ def test_what_sentences_of_documents_teach():
     assert target[5].tolist() == [0, 0, 0] and use.all()
 
 
+def test_gradient_steps_equal_sums_over_all_words_and_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = [[f"w{rng.integers(30)}" * int(rng.integers(1, 4)) for _ in range(rng.integers(1, 12))] for _ in range(40)]
+    words = subjects.Words(texts, 64)
+    of = np.array([3, 17, 5, 30, 31])
+    step, table, to_mean = words.pick(of), rng.standard_normal((64, subjects.DIM)), rng.standard_normal((5, subjects.DIM))
+    mean, gradient = np.zeros((5, subjects.DIM)), np.zeros((64, subjects.DIM))
+    for k, s in enumerate(of):
+        for w in texts[s]:
+            rows = subjects.word_rows(w, 64)
+            mean[k] += table[rows].mean(axis=0) / len(texts[s])
+            np.add.at(gradient, rows, to_mean[k] / len(texts[s]) / len(rows))
+    assert np.allclose(step.mean(table[step.touched]), mean, atol=1e-5) and np.allclose(step.table_gradient(to_mean), gradient[step.touched], atol=1e-5)
+    assert not gradient[np.setdiff1d(np.arange(64), step.touched)].any() and step.share.shape[1] <= len({w for s in of for w in texts[s]})
+
+
 def test_sentences_of_long_markup_and_marks():
     assert subjects.sentences("<a " + "x" * 5000 + ">One two.</a> Three") == [["one", "two"], ["three"]]
     assert subjects.sentences("< " * 50_000 + "word") == [["word"]]
